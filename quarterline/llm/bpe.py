@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from .shared import read_table, small_batches
+from .shared import map_texts, read_table
 
 #: Unicode White_Space as a character class; the tokenizer's \s.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -172,20 +170,18 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     as they are, one output row for each input row; other columns of docs are not read. keep_ids adds the
     ids themselves. Each row depends on itself alone, so there is no shuffle.
     """
-    small_batches(docs.sparkSession)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         encode, decode = codec(ranks_path, pattern)
-        for batch in batches:
-            ids = [encode(text) for text in batch["text"]]
-            out = {id_col: batch[id_col], "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(decode(x)).hexdigest() for x in ids]}
-            if keep_ids:
-                out["ids"] = [memoryview(x).cast("I").tolist() for x in ids]
-            yield pd.DataFrame(out)
-
-    return docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, schema)
+
+        def run(texts: list[str]):
+            ids = [encode(text) for text in texts]
+            columns = [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(decode(x)).hexdigest() for x in ids]]
+            return columns + [[memoryview(x).cast("I").tolist() for x in ids]] * keep_ids, None
+
+        return run
+
+    return map_texts(docs, {id_col: id_col}, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids, make)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_packing": packing.op2_packing,
         "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op8_quality": quality.op8_quality,
     }
 
 

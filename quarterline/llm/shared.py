@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of text in one Arrow batch; keeps a worker's batch small when texts are long.
 TEXT_BATCH_ROWS = 1000
@@ -65,8 +66,37 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def text_or_empty(text: str | Column) -> Column:
-    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+def map_texts(docs: DataFrame, keep: dict[str, str], text_col: str, fields: str, make: Callable) -> DataFrame:
+    """Columns of docs (keep: their names to new names) beside what a Python function makes of each whole text.
+
+    make() is called once for each partition and returns f(texts) -> (columns, rows): a list for each of the
+    fields, and the index of the text each entry comes from, or None if there is one entry for each text.
+    Kept columns pass through Arrow unchanged, so nulls and large ids stay exact. A null text counts as empty.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    small_batches(docs.sparkSession)
+    added = _parse_datatype_string(fields)
+    schema = StructType([StructField(new, docs.schema[old].dataType) for old, new in keep.items()] + list(added))
+    arrow = to_arrow_schema(schema)
+    width = len(keep)
+
+    def run(batches):
+        import pyarrow as pa
+
+        f = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                columns, rows = f(part.column(width).to_pylist())
+                index = None if rows is None else pa.array(rows, type=pa.int64())
+                kept = [part.column(k) if index is None else part.column(k).take(index) for k in range(width)]
+                made = [pa.array(values, type=arrow.field(width + k).type) for k, values in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays([x.cast(arrow.field(k).type) for k, x in enumerate(kept)] + made, schema=arrow)
+
+    source = docs.select(*[F.col(old).alias(f"kept{k}") for k, old in enumerate(keep)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return source.mapInArrow(run, schema)
 
 
 def recall_depth(similarity: float, trees: int, deepest: int, target: float) -> int:
