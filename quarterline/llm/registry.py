@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality
+from . import bpe, html, packing, quality, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": packing.op2_packing,
         "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op5_secrets": secrets.op5_secrets,
         "op8_quality": quality.op8_quality,
+        "op9_html": html.op9_html,
     }
 
 
