@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, packing, quality, secrets
+from . import bpe, html, jaccard, packing, quality, secrets, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": packing.op2_packing,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_secrets": secrets.op5_secrets,
+        "op6_substrings": substrings.op6_substrings,
         "op8_quality": quality.op8_quality,
         "op9_html": html.op9_html,
+        "op10_jaccard": jaccard.op10_jaccard,
     }
 
 

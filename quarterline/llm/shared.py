@@ -66,12 +66,12 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def map_texts(docs: DataFrame, keep: dict[str, str], text_col: str, fields: str, make: Callable) -> DataFrame:
+def map_texts(docs: DataFrame, keep: dict[str, str], text_col: str, fields: str, make: Callable, also: tuple[str, ...] = ()) -> DataFrame:
     """Columns of docs (keep: their names to new names) beside what a Python function makes of each whole text.
 
     make() is called once for each partition and returns f(texts) -> (columns, rows): a list for each of the
     fields, and the index of the text each entry comes from, or None if there is one entry for each text.
-    Kept columns pass through Arrow unchanged, so nulls and large ids stay exact. A null text counts as empty.
+    The columns in also are given to f as further lists. Kept columns pass through Arrow unchanged, so nulls and large ids stay exact. A null text counts as empty.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -89,13 +89,13 @@ def map_texts(docs: DataFrame, keep: dict[str, str], text_col: str, fields: str,
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                columns, rows = f(part.column(width).to_pylist())
+                columns, rows = f(*(part.column(width + k).to_pylist() for k in range(1 + len(also))))
                 index = None if rows is None else pa.array(rows, type=pa.int64())
                 kept = [part.column(k) if index is None else part.column(k).take(index) for k in range(width)]
                 made = [pa.array(values, type=arrow.field(width + k).type) for k, values in enumerate(columns)]
                 yield pa.RecordBatch.from_arrays([x.cast(arrow.field(k).type) for k, x in enumerate(kept)] + made, schema=arrow)
 
-    source = docs.select(*[F.col(old).alias(f"kept{k}") for k, old in enumerate(keep)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(*[F.col(old).alias(f"kept{k}") for k, old in enumerate(keep)], F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"also{k}") for k, c in enumerate(also)])
     return source.mapInArrow(run, schema)
 
 
