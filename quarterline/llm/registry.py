@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, jaccard, packing, quality, secrets, substrings
+from . import bpe, fingerprints, html, jaccard, licences, packing, quality, secrets, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licences": licences.op1_licences,
         "op2_packing": packing.op2_packing,
+        "op3_fingerprints": fingerprints.op3_fingerprints,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_secrets": secrets.op5_secrets,
         "op6_substrings": substrings.op6_substrings,
@@ -22,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op1_licences": licences.op1_sql()}
