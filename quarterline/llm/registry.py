@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html, jaccard, licences, packing, quality, secrets, substrings
+from . import bpe, fingerprints, html, jaccard, licences, packing, quality, secrets, substrings, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_secrets": secrets.op5_secrets,
         "op6_substrings": substrings.op6_substrings,
+        "op7_vectors": vectors.op7_vectors,
         "op8_quality": quality.op8_quality,
         "op9_html": html.op9_html,
         "op10_jaccard": jaccard.op10_jaccard,
