@@ -24,7 +24,6 @@ def parse(responses: DataFrame, id_col: str = "custom_id", text_col: str = "comp
     def pair(p: Column, i: Column) -> Column:
         after = F.get("pieces", i + 1)
         cut = F.coalesce(~after.contains("=") & after.rlike(_NUMBER), F.lit(False))
-        value = F.expr("try_cast(null as double)")
         key = F.trim(F.substring_index(p, "=", 1))
         value = F.trim(F.substring(p, F.instr(p, "=") + 1, F.length(p))).try_cast("double")
         return F.struct(key.alias("code"), F.when(~cut, value).alias("value"), (p.contains("=") & value.isNotNull()).alias("is_pair"), i.alias("i"))
@@ -36,7 +35,7 @@ def parse(responses: DataFrame, id_col: str = "custom_id", text_col: str = "comp
 
 def render(rows: DataFrame, keys: list[str], account: str, quarter: str, value: str) -> DataFrame:
     """History as text for each key: a line for each account, values with two digits by quarter, all-null accounts left out."""
-    cell = F.struct(F.col(quarter), F.coalesce(F.format_string("%.2f", F.col(value)), F.lit("")).alias("v"))
+    cell = F.struct(F.col(quarter), F.when(F.col(value).isNotNull(), F.format_string("%.2f", F.col(value))).otherwise("").alias("v"))
     lines = rows.groupBy(*keys, account).agg(F.array_sort(F.collect_list(cell)).alias("cells"), F.count(value).alias("some")).where("some > 0")
     line = F.concat_ws(",", F.col(account), F.array_join(F.transform("cells", lambda c: c["v"]), ","))
     lines = lines.withColumn("line", line)
