@@ -49,7 +49,7 @@ def file_parts(names: DataFrame, column: str = "file_name") -> DataFrame:
 
 def read_forecasts(spark: SparkSession, folder: str) -> DataFrame:
     """All forecast files of a folder with the parts of their names; others are left out."""
-    rows = spark.read.option("pathGlobFilter", "*predictions.parquet").option("recursiveFileLookup", "true").parquet(folder)
+    rows = spark.read.parquet(f"{folder}/*predictions.parquet")
     named = rows.withColumn("file_name", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*predictions\.parquet)", 1))
     return file_parts(named.drop("model")).where("model is not null")
 
