@@ -88,6 +88,41 @@ def chained(train: DataFrame, test: DataFrame, features: list[str], chain: list[
     return out
 
 
+def coefficient_summary(c):
+    """Norms and sparsity of an array of coefficients, as columns by name."""
+    total = F.aggregate(c, F.lit(0.0), lambda a, x: a + F.abs(x))
+    nonzero = F.size(F.filter(c, lambda x: x != 0))
+    return {
+        "l1": total,
+        "l2": F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)),
+        "largest": F.array_max(F.transform(c, lambda x: F.abs(x))),
+        "mean": total / F.nullif(F.size(c), F.lit(0)),
+        "nonzero": nonzero,
+        "sparsity": 1 - nonzero / F.nullif(F.size(c), F.lit(0)),
+    }
+
+
+def from_quantiles(knots, limit: float = 6.0):
+    """Point and spread of a sampled forecast's sorted quantiles: clipped median and mean, sigma by moments and by the 10-90 span."""
+    from ..functions import maths, quantiles
+
+    clipped = F.transform(knots, lambda z: F.greatest(F.lit(-limit), F.least(F.lit(limit), z)))
+    low, mid, high = (quantiles.LEVELS.index(t) for t in (0.1, 0.5, 0.9))
+    return {
+        "median": maths.clip(F.get(knots, F.lit(mid)), -limit, limit),
+        "mean": quantiles.mean(clipped),
+        "moment_sigma": quantiles.moment_sigma(knots),
+        "sigma": quantiles.sigma_from_pair(F.get(knots, F.lit(low)), F.get(knots, F.lit(high)), 0.1, 0.9),
+    }
+
+
+def graph_rows(rows: DataFrame, key: str, at: str, center: int) -> DataFrame:
+    """A window's nodes as flat rows: future ones are masked, and each key gets a node for its industry that never is."""
+    nodes = rows.select(key, at, (F.col(at) <= center).alias("visible"), F.lit(False).alias("is_industry"))
+    extra = rows.select(key).distinct().select(key, F.lit(0).alias(at), F.lit(True).alias("visible"), F.lit(True).alias("is_industry"))
+    return nodes.unionByName(extra)
+
+
 #: Producer types by name; the neural ones of the domain are outside this engine and are called through mapInPandas.
 PRODUCERS: dict[str, Callable] = {"naive_drift": naive_drift, "q0_repeat": q0_repeat, "ols": ols_by_group, "linear": fit_linear, "trees": fit_trees, "chained": chained}
 

@@ -62,7 +62,7 @@ def density_of(stem: Column) -> Column:
 def read_sidecars(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(model, family, dof) of JSON sidecars; one that is broken or lacks a family means gaussian."""
     rows = spark.read.schema("family string, df double").option("multiLine", "true").json(paths)
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.nll\.json$", 1)
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.nll\.json(?:/|$)", 1)
     return rows.select(stem.alias("model"), F.coalesce("family", F.lit("gaussian")).alias("family"), F.col("df").alias("dof"))
 
 
