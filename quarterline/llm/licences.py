@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -56,6 +57,29 @@ def templates_by_size(dice: float = DICE) -> list[tuple[int, int, str, list[str]
     return rows
 
 
+# Words too common to tell a licence by.
+COMMON = frozenset("a all an and any are as at be by can for from has if in is it may must no not obtain of on or see so that the this to under use was where which with without you".split())
+
+
+def anchors(dice: float = DICE) -> list[str]:
+    """Words of which every text that reaches the coefficient has at least one.
+
+    Such a text shares at least dice / (2 - dice) of a template's bigrams. So if the bigrams that hold a
+    chosen word are more than the others may be missing, one of the words is in it. Words that hold the most
+    bigrams are chosen first, and from the whole template's words only if the uncommon ones don't suffice.
+    """
+    chosen: set[str] = set()
+    for _, text in TEMPLATES:
+        grams = [g.split() for g in bigrams(text)]
+        enough = len(grams) - math.ceil(len(grams) * dice / (2 - dice) - 1e-9) + 1
+        held = lambda words: sum(1 for g in grams if not words.isdisjoint(g))
+        words = sorted({w for g in grams for w in g})
+        for pool in ([w for w in words if w not in COMMON and len(w) > 1], words):
+            while held(chosen) < enough and (left := [w for w in pool if w not in chosen]):
+                chosen.add(max(left, key=lambda w: (held(chosen | {w}), len(w), w)))
+    return sorted(chosen)
+
+
 #: Turns a text into units on lines: line ends, or also sentence ends; then only words and spaces are left.
 _LINES = r"[^a-z0-9\n]+"
 _SENTENCE = r"([.!?;])\s+"
@@ -70,6 +94,7 @@ def scan(docs: DataFrame, dice: float = DICE, id_col: str = "doc_id", text_col:
     coefficient and the words of the largest unit. Texts without a licence, and null or empty texts, give no
     row. Rows with the same id count together; a null id is an id. Other columns of docs are not read.
 
+    Texts and units without any of the words in anchors() can't reach the coefficient and are passed over.
     The templates are a fixed table and are broadcast; documents are grouped within themselves, so what is
     shuffled are the units found alone.
     """
@@ -77,14 +102,16 @@ def scan(docs: DataFrame, dice: float = DICE, id_col: str = "doc_id", text_col:
     sized = spark.createDataFrame(templates_by_size(dice), "size int, number int, licence string, grams array<string>")
     low, high = min(r[0] for r in templates_by_size(dice)), max(r[0] for r in templates_by_size(dice))
     # A bigram set of size a has at least a + 1 words; repeated bigrams only add words.
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    has_anchor = f"(?<![a-z0-9])(?:{'|'.join(anchors(dice))})(?![a-z0-9])"
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).where(F.col("text").rlike(has_anchor))
+    text = F.col("text")
     lines = F.split(F.regexp_replace(text, _LINES, " "), "\n")
     parts = F.split(F.regexp_replace(F.regexp_replace(text, _SENTENCE, "$1\n"), _LINES, " "), "\n")
     whole = F.array(F.regexp_replace(text, "[^a-z0-9]+", " "))
     units = F.array_distinct(F.transform(F.concat(lines, parts, whole), lambda u: F.trim(u)))
     n_spaces = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))
-    units = F.filter(units, lambda u: (F.length(u) >= 2 * low + 1) & (n_spaces(u) >= low))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(units).alias("unit"))
+    units = F.filter(units, lambda u: (F.length(u) >= 2 * low + 1) & (n_spaces(u) >= low) & u.rlike(has_anchor))
+    rows = docs.select("doc_id", F.explode(units).alias("unit"))
     rows = rows.withColumn("words", F.split("unit", " "))
     pairs = F.array_distinct(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b)))
     rows = rows.select("doc_id", "unit", F.size("words").alias("n_words"), pairs.alias("pairs")).withColumn("size", F.size("pairs"))
