@@ -3,24 +3,18 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import density, quantiles, schedules
 from ..operators import panels, producers, scoring, significance
 from ..sources import forecasts as files, maps, views
+from ..sources.shared import fresh_folder as folder
 from ..sources.views import FORECASTS, PANEL, SPARSE, TRUTH, with_views
 from .registry import query
 from .scoring_queries import ALL, CELLS, DENSE, DIFFS, KNOTS, NW, PIT, mixture, quantile_cells, rounded, sample, tests
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one that the session's executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/quarterline"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("s1_raw_panel_reader", "SELECT count(*) AS n, count(DISTINCT n_regionkey) AS regions FROM nation")
 def s1_raw_panel_reader(spark, sf_dir):
     path = f"{folder(spark, 'raw')}.csv"

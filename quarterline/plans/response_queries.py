@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import responses
 from ..sources import forecasts as files, views
+from ..sources.shared import fresh_folder
 from ..sources.views import FORECASTS, PANEL, SPARSE, TRUTH, with_views
 from ..streaming import streams
 from .registry import query
@@ -216,11 +217,10 @@ def u5_feature_set_union(spark, sf_dir):
 
 def _stream_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """A stream over the table events, and a fresh checkpoint in the folder that the session names."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file:///tmp/quarterline-streams"
     schema = views.table(spark, sf_dir, "events").schema
     # As a glob the path may be a file or a folder.
     found = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
-    return found.withColumn("ts", F.col("ts").cast("timestamp")), f"{base}/stream-{uuid.uuid4().hex}"
+    return found.withColumn("ts", F.col("ts").cast("timestamp")), fresh_folder(spark, "stream")
 
 
 @query("t1_streaming_stats", "SELECT event_type, count(value) AS n, round(sum(value), 4) AS s, round(sum(value * value), 2) AS ss FROM events GROUP BY 1")
