@@ -9,7 +9,7 @@ from .shared import read_table, stored
 #: Words of a k-mer, tuples of a fingerprint, and k-mers of a tuple.
 K, TUPLES, PICKS = 2, 64, 2
 _HEX = 4
-_EMPTY = "-" * _HEX
+_EMPTY = "0" * _HEX
 _PLACE_BITS = 24
 
 
@@ -19,7 +19,7 @@ def _let(value: Column, body) -> Column:
 
 
 def order_minhash(text: Column) -> Column:
-    """TUPLES hashes of 16 bits as hexadecimal text; a tuple without k-mers is '----'.
+    """TUPLES hashes of 16 bits as hexadecimal text; a tuple without k-mers is '0000'.
 
     Words are what white space separates; a k-mer is K words in a row (a shorter text is one k-mer), numbered
     by its occurrence, so repeats count. One hash deals each numbered k-mer to a tuple and ranks it there;
@@ -67,7 +67,9 @@ def order_minhash(text: Column) -> Column:
             mine = F.filter(p, lambda x: F.shiftright(x, shift) == t)
             ordered = F.array_sort(F.transform(mine, lambda x: F.struct(x.bitwiseAND(place_mask).alias("place"), F.shiftright(x, _PLACE_BITS).alias("kmer"))))
             h = F.xxhash64(F.transform(ordered, lambda x: x["kmer"]))
-            return F.when(F.size(mine) == 0, F.lit(_EMPTY)).otherwise(F.substring(F.lpad(F.lower(F.hex(h)), 16, "0"), 1, _HEX))
+            # A tuple that hashes to the mark of an empty one takes the next value.
+            value = F.greatest(F.shiftrightunsigned(h, 64 - 4 * _HEX), F.lit(1))
+            return F.when(F.size(mine) == 0, F.lit(_EMPTY)).otherwise(F.lpad(F.lower(F.hex(value)), _HEX, "0"))
 
         tuples = F.sequence(F.lit(-TUPLES // 2).cast("long"), F.lit(TUPLES // 2 - 1).cast("long"))
         return F.array_join(F.transform(tuples, one), "")
@@ -113,8 +115,11 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     in the result. A null text counts as empty; a null id comes first. Only JVM expressions are used.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("doc_id"), F.col(id_col).isNull().alias("unnamed"), text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    marked = stored(rows.select("doc_id", "text_hash", F.length("text").cast("long").alias("n_chars"), order_minhash(F.col("text")).alias("fingerprint")), "fingerprints")
+    unnamed = F.lit(-(1 << 63))
+    # Both joins of the texts read exactly these columns, so that they share one exchange.
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), unnamed).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    # As bytes a fingerprint takes half the room of its text.
+    marked = stored(rows.select("doc_id", "text_hash", F.length("text").cast("long").alias("n_chars"), F.unhex(order_minhash(F.col("text"))).alias("fingerprint")), "fingerprints")
     one = marked.dropDuplicates(["doc_id", "text_hash"])
     chain = successors(one.select("doc_id", "text_hash"))
     # What each document has to give to the one before it.
@@ -124,11 +129,12 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     given = given.dropDuplicates(["to_id", "to_hash"]).select(F.col("to_id").alias("doc_id"), F.col("to_hash").alias("text_hash"), "tail")
     n = F.length("text")
     edited = rows.join(given, ["doc_id", "text_hash"]).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 4)).cast("int")), "tail"))
-    edited = edited.select("doc_id", "unnamed", "text_hash", F.sha2("edited", 256).alias("edited_sha256"), order_minhash(F.col("edited")).alias("edited_fingerprint"))
+    edited = edited.select("doc_id", "text_hash", F.sha2("edited", 256).alias("edited_sha256"), order_minhash(F.col("edited")).alias("edited_fingerprint"))
     following = chain.join(one.select(F.col("doc_id").alias("next_id"), F.col("text_hash").alias("next_hash"), F.col("fingerprint").alias("next_fingerprint")), ["next_id", "next_hash"])
     full = edited.join(one, ["doc_id", "text_hash"]).join(following.select("doc_id", "text_hash", "next_fingerprint"), ["doc_id", "text_hash"])
+    full = full.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "next_fingerprint")})
     return full.select(
-        F.when(~F.col("unnamed"), F.col("doc_id")).alias(id_col),
+        F.when(F.col("doc_id") != unnamed, F.col("doc_id")).alias(id_col),
         "n_chars",
         "edited_sha256",
         "fingerprint",
