@@ -32,28 +32,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges(a, b); component is the smallest node that links reach.
 
-    Every node takes the least label among its neighbours, then the label of its label, so the number
-    of rounds grows with the logarithm of the longest path. Labels are written to the shared folder
-    after each round; nothing but a count of changes comes to the driver. Nulls in a or b are ignored.
+    In each round the nodes get new pseudo-random ranks, every node goes to its neighbour of least rank, if that is
+    below its own, and from there once more in the same way; the links between the nodes so reached are all that the
+    next round reads. A node that has a link stays where it is with a probability of at most one half, however
+    the ids lie along a chain, so the rounds grow with the logarithm of the number of nodes; they go on until no link is left.
+    Each round is written to the shared folder; nothing but whether links are left comes to the driver. Nulls in
+    a or b are ignored.
     """
     pairs = edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
     both = stored(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component"))
-    labels = stored(labels, "labels")
-    for _ in range(rounds):
-        heard = both.join(labels.select(F.col("node").alias("b"), "component"), "b").select(F.col("a").alias("node"), "component")
-        best = heard.union(labels).groupBy("node").agg(F.min("component").alias("component"))
-        up = labels.select(F.col("node").alias("component"), F.col("component").alias("higher"))
-        jumped = best.join(up, "component", "left").select("node", F.least("component", "higher").alias("component"))
-        new = stored(jumped, "labels")
-        moved = new.join(labels.withColumnRenamed("component", "before"), "node").where("component <> before").limit(1).count()
-        labels = new
-        if not moved:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    steps: list[DataFrame] = []
+    while not both.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(steps)), c).alias("rank"), F.col(c).alias("id"))  # noqa: E731, B023
+        first = both.groupBy("a").agg(F.min(rank("b")).alias("least")).select(F.col("a").alias("node"), F.least("least", rank("a"))["id"].alias("up"))
+        first = stored(first, "hooks")
+        second = first.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        steps.append(stored(first.join(second, "up").select("node", F.col("top").alias("up")), "steps"))
+        left, right = (steps[-1].select(F.col("node").alias(c), F.col("up").alias(f"up_{c}")) for c in ("a", "b"))
+        moved = both.join(left, "a").join(right, "b").where("up_a <> up_b")
+        both = stored(moved.select(F.col("up_a").alias("a"), F.col("up_b").alias("b")).distinct(), "edges")
+    if not steps:
+        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    roots = steps.pop()
+    while steps:
+        later = roots.select(F.col("node").alias("up"), F.col("up").alias("root"))
+        roots = stored(steps.pop().join(later, "up", "left").select("node", F.coalesce("root", "up").alias("up")), "roots")
+    least = roots.groupBy("up").agg(F.min("node").alias("component"))
+    return stored(roots.join(least, "up").select("node", "component"), "components")
 
 
 def map_texts(docs: DataFrame, keep: dict[str, str], text_col: str, fields: str, make: Callable, also: tuple[str, ...] = ()) -> DataFrame:
