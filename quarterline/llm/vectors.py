@@ -61,7 +61,7 @@ def buckets(x: np.ndarray, tables: int = TABLES, rotations: int = ROTATIONS, pro
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """Distinct (label, vector) classes of the rows that can link, with their least id and number of ids."""
+    """(vec_id, label, v) of the rows that can link."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -91,6 +91,8 @@ def _once(codes_a: np.ndarray, codes_b: np.ndarray, table: np.ndarray, bucket: n
 def links(classes: DataFrame, cosine: float) -> DataFrame:
     """(a, b, n): for b null, n vectors are linked to class a; else classes a and b are linked.
 
+    Links with n = 0 connect what is linked; those with n = 1 are every link, once, of which a class is shared.
+
     A bucket's vectors are compared where the bucket's rows meet after a shuffle; a pair that shares several
     buckets counts in the first. Of the links of a bucket only a spanning forest is returned. Buckets of more
     than BLOCK vectors are dealt to pairs of blocks, so that none is a single task.
@@ -125,8 +127,8 @@ def links(classes: DataFrame, cosine: float) -> DataFrame:
     met = met.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select(*key, "vec_id", "block", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
     cell = [*key, "low", "high"]
-    loaded = met.join(coded.select("vec_id", "n", "v", "codes"), "vec_id").withColumn("cell", F.xxhash64(*cell))
-    loaded = loaded.repartition("cell").sortWithinPartitions("cell", *cell, "vec_id").select("cell", *cell, "vec_id", "block", "n", "v", "codes")
+    loaded = met.join(coded.select("vec_id", "n", "v", "codes", "shared"), "vec_id").withColumn("cell", F.xxhash64(*cell))
+    loaded = loaded.repartition("cell").sortWithinPartitions("cell", *cell, "vec_id").select("cell", *cell, "vec_id", "block", "n", "v", "codes", "shared")
 
     def compare(batches):
         import pyarrow as pa
@@ -156,6 +158,7 @@ def links(classes: DataFrame, cosine: float) -> DataFrame:
             v = table.column("v").combine_chunks()
             sizes = table.column("size").to_numpy()
             flat, begin = v.flatten().to_numpy(), v.offsets.to_numpy() - v.offsets[0].as_py()
+            shared = table.column("shared").to_numpy()
             codes = table.column("codes").combine_chunks().flatten().to_numpy().reshape(len(ids), TABLES, PROBES)
             xs, ys = [], []
             for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -194,8 +197,11 @@ def links(classes: DataFrame, cosine: float) -> DataFrame:
                     up[max(p, q)] = min(p, q)
                     a.append(p), b.append(q)
             some = np.flatnonzero(linked)
+            listed = shared[x] | shared[y]
+            a, b = a + ids[x[listed]].tolist(), b + ids[y[listed]].tolist()
+            kind = np.r_[linked[some], np.zeros(len(a) - listed.sum()), np.ones(listed.sum())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[ids[some], np.array(a, dtype=np.int64)]), pa.array([None] * len(some) + b, pa.int64()), pa.array(np.r_[linked[some], np.zeros(len(a))].astype(np.int64))],
+                [pa.array(np.r_[ids[some], np.array(a, dtype=np.int64)]), pa.array([None] * len(some) + b, pa.int64()), pa.array(kind.astype(np.int64))],
                 names=["a", "b", "n"],
             )
 
@@ -211,21 +217,44 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     0.99, see the tests); every candidate is verified, so no link is wrong. n_links counts the other vectors linked directly, component_id
     is the least id that links reach, and kept tells if that is the vector itself.
 
-    Equal vectors of a label are one class from the start. Null and zero vectors, those with null or
-    non-finite components, and null labels are linked to nothing; vectors of different length are not
-    compared. Rows with the same id are one vector with the links of each; a null id gets null results.
+    Equal vectors of a label are one class from the start, and all classes are compared. Null and zero vectors,
+    those with null or non-finite components, and null labels are linked to nothing; vectors of different length
+    are not compared. Rows with the same id are one vector with the links of each, counted once; a null id gets
+    null results. Of classes that hold an id with several vectors all links are listed, so that no id counts twice.
     """
     rows = _usable(vectors, id_col, vector_col, label_col)
-    classes = rows.groupBy("label", "v").agg(F.min("vec_id").alias("head"), F.count_distinct("vec_id").alias("n"))
+    classes = rows.groupBy("label", "v").agg(F.min("vec_id").alias("head")).withColumn("class", F.monotonically_increasing_id())
+    # The numbers hold from here on, as they are written.
     classes = stored(classes, "classes")
-    member = stored(rows.distinct().join(classes, ["label", "v"]).select("vec_id", "head", "n"), "members")
-    # An id with several vectors may head several classes; one each goes on, tied to the id.
-    heads = classes.groupBy(F.col("head").alias("vec_id")).agg(F.max_by(F.struct("label", "v", "n"), F.struct("n", F.xxhash64("v"))).alias("c"))
-    found = stored(links(heads.select("vec_id", F.col("c.label").alias("label"), F.col("c.v").alias("v"), F.col("c.n").alias("n")), cosine), "links")
-    counts = found.where("b is null").groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("others"))
-    joined = connected_components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("head"), "component")
-    out = member.join(counts, "head", "left").join(joined, "head", "left")
-    out = out.groupBy("vec_id").agg(F.min(F.coalesce("component", "head")).alias("component_id"), F.max(F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    member = rows.distinct().join(classes, ["label", "v"]).select("vec_id", "class")
+    member = stored(member, "members")
+    several = member.groupBy("vec_id").agg(F.count("*").alias("held")).where("held > 1").select("vec_id", F.lit(True).alias("several"))
+    member = member.join(several, "vec_id", "left").select("vec_id", "class", F.coalesce("several", F.lit(False)).alias("several"))
+    many = stored(member.where("several").select("vec_id", "class"), "several")
+    sized = member.groupBy("class").agg(F.count(F.when(~F.col("several"), 1)).alias("n"), F.max("several").alias("shared"))
+    sized = stored(classes.join(sized, "class"), "sized")
+    found = stored(links(sized.select(F.col("class").alias("vec_id"), "label", "v", "n", "shared"), cosine), "links")
+    ties = many.join(many.groupBy("vec_id").agg(F.min("class").alias("a")), "vec_id").select("a", F.col("class").alias("b"))
+    joined = connected_components(found.where("b is not null and n = 0").select("a", "b").union(ties)).withColumnRenamed("node", "class")
+    least = joined.join(classes.select("class", "head"), "class").groupBy("component").agg(F.min("head").alias("component_id"))
+    joined = joined.join(least, "component").select("class", "component_id")
+    # Classes and those they reach, as far as ids with several vectors are in either.
+    pairs = found.where("b is not null and n = 1")
+    own = sized.where("shared").select("class", F.col("class").alias("near"))
+    near = stored(own.union(pairs.select("a", "b")).union(pairs.select("b", "a")), "near")
+    reached = many.select(F.col("vec_id").alias("other"), F.col("class").alias("near"))
+    counts = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("single"))
+    extra = near.join(reached, "near").groupBy("class").agg(F.count_distinct("other").alias("extra"))
+    each = sized.select("class", "head", "n").join(counts, "class", "left").join(joined, "class", "left").join(extra, "class", "left")
+    each = each.select("class", F.coalesce("component_id", "head").alias("component_id"), (F.col("n") + F.coalesce("single", F.lit(0)) + F.coalesce("extra", F.lit(0)) - 1).alias("n_links"))
+    each = stored(each, "each")
+    alone = member.where("not several").join(each, "class").select("vec_id", "component_id", "n_links")
+    reach = many.join(near, "class").select("vec_id", "near").distinct()
+    once = reach.join(sized.select(F.col("class").alias("near"), "n"), "near").groupBy("vec_id").agg(F.sum("n").alias("single"))
+    again = reach.join(reached, "near").groupBy("vec_id").agg(F.count_distinct("other").alias("extra"))
+    placed = many.join(each, "class").groupBy("vec_id").agg(F.min("component_id").alias("component_id"))
+    both = placed.join(once, "vec_id").join(again, "vec_id").select("vec_id", "component_id", (F.col("single") + F.col("extra") - 1).alias("n_links"))
+    out = alone.union(both)
     every = vectors.select(F.col(id_col).cast("long").alias("vec_id")).distinct()
     full = every.join(out, "vec_id", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
     return full.select(F.col("vec_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", (F.col("component_id") == F.col("vec_id")).alias("kept"))
