@@ -21,10 +21,20 @@ BOILER_WORDS = frozenset(
     "masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion recommended related replies reply reader respond share sharing sidebar side "
     "signup skip social sponsor sponsored subscribe tags toolbar topbar widget alert responses feedback login search legal".split()
 )
+#: Silent elements whose content is no markup, and those that may close themselves.
+RAW_TAGS = frozenset("script style noscript textarea iframe title".split())
+FOREIGN_TAGS = frozenset("svg math".split())
+#: Classes of what holds the page say what else is on it; an article is boilerplate only where a class starts with one of the item words.
+PAGE_TAGS = frozenset("html body main".split())
+ITEM_WORDS = frozenset("ad ads advert advertisement comment comments promo promoted recommended related reply replies response responses sponsored".split())
+#: Words that start a class of what an element has, not of what it is, as in has-sidebar.
+STATE_WORDS = frozenset("has no with without".split())
+PHRASE_TAGS = frozenset("p span b i em strong a".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 
 _tag = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
 _silent_ends = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in SILENT_TAGS}
+_tokens_in = re.compile(r"\S+").findall
 _hints = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _words_in = re.compile(r"[a-z]+").findall
 _camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -39,8 +49,14 @@ def _boiler(tag: str, attributes: str) -> bool:
     for name, value in _hints.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if not BOILER_WORDS.isdisjoint(_words_in(_camel.sub(" ", value).lower())):
-                return True
+            if tag in PAGE_TAGS:
+                continue
+            for token in _tokens_in(value):
+                words = _words_in(_camel.sub(" ", token).lower())
+                if tag == "article" and ITEM_WORDS.isdisjoint(words[:1]) or words and words[0] in STATE_WORDS:
+                    continue
+                if not BOILER_WORDS.isdisjoint(words) or tag == "article":
+                    return True
         elif name == "role":
             if value.lower() in ROLES:
                 return True
@@ -50,12 +66,15 @@ def _boiler(tag: str, attributes: str) -> bool:
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """Flat text blocks of a page: (text, words, linked words, inside boilerplate markup, inside main markup)."""
+    """Flat text blocks of a page: (text, words, linked words, inside boilerplate markup, inside main markup).
+
+    Text in silent elements is left out. One that is not closed ends with its parent.
+    """
     out: list[tuple[str, int, int, bool, bool]] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
-    in_link = in_boiler = in_main = 0
+    stack: list[tuple[str, bool, bool, bool]] = []
+    in_link = in_boiler = in_main = in_silent = 0
 
     def flush() -> None:
         if parts:
@@ -66,17 +85,18 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         linked.clear()
 
     def close(k: int) -> None:
-        nonlocal in_boiler, in_main
+        nonlocal in_boiler, in_main, in_silent
         while len(stack) > k:
-            _, boiler, main = stack.pop()
+            _, boiler, main, silent = stack.pop()
             in_boiler -= boiler
             in_main -= main
+            in_silent -= silent
 
     at, size = 0, len(page)
     while at < size:
         found = _tag.search(page, at)
         start = found.start() if found else size
-        if start > at:
+        if start > at and not in_silent:
             parts.append(page[at:start])
             if in_link:
                 linked.append(page[at:start])
@@ -87,26 +107,47 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             continue
         tag, closing = found[2].lower(), bool(found[1])
         if closing:
+            ends = None
+            if tag not in VOID_TAGS:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == tag:
+                        ends = k
+                        break
+                    if tag in PHRASE_TAGS and (stack[k][0] in MAIN_TAGS or stack[k][3] and (k == 0 or stack[k - 1][0] != tag)):
+                        break
             if tag == "a":
                 in_link = 0
-            if tag in BLOCK_TAGS:
+            if tag in BLOCK_TAGS and not (in_silent and (ends is None or any(x[3] for x in stack[:ends]))):
                 flush()
                 in_link = 0
-            if tag not in VOID_TAGS:
+            if ends is not None:
+                close(ends)
+            continue
+        if tag in _silent_ends:
+            if tag in ("button", "select"):
+                # One that is still open ends here.
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         close(k)
                         break
-                    if tag != "article" and stack[k][0] in ("article", "main") and tag in ("p", "span", "b", "i", "em", "strong", "a"):
+                    if stack[k][3]:
                         break
-            continue
-        if tag in _silent_ends:
-            if tag in BLOCK_TAGS:
+            if tag in BLOCK_TAGS and not in_silent:
                 flush()
-            if tag == "head":
+            if tag == "head" or tag in FOREIGN_TAGS and found[3].rstrip().endswith("/"):
                 continue
-            end = _silent_ends[tag].search(page, at)
-            at = end.end() if end else size
+            if tag in RAW_TAGS:
+                end = _silent_ends[tag].search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    parent = re.compile(rf"</{re.escape(stack[-1][0])}\s*>", re.I).search(page, at) if stack else None
+                    at = parent.start() if parent else size
+                continue
+            stack.append((tag, False, False, True))
+            in_silent += 1
+            continue
+        if in_silent and tag == "br" or in_silent and tag == "a":
             continue
         if tag == "br":
             parts.append(" ")
@@ -114,20 +155,21 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if tag == "a":
             in_link = 1
         if tag in BLOCK_TAGS:
-            flush()
-            in_link = 0
+            if not in_silent:
+                flush()
+                in_link = 0
             if tag in ("li", "dt", "dd", "option", "tr", "td", "th") or tag in _implied_p:
                 # An open paragraph, or item of the same list, ends here.
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p" or stack[k][0] == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
                         close(k)
                         break
-                    if stack[k][0] in BLOCK_TAGS:
+                    if stack[k][0] in BLOCK_TAGS or stack[k][3]:
                         break
         if tag in VOID_TAGS or found[3].rstrip().endswith("/") and tag not in BLOCK_TAGS:
             continue
         boiler, main = _boiler(tag, found[3]), tag in MAIN_TAGS
-        stack.append((tag, boiler, main))
+        stack.append((tag, boiler, main, False))
         in_boiler += boiler
         in_main += main
     flush()
@@ -135,13 +177,14 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
 
 
 def features(found: list[tuple[str, int, int, bool, bool]]) -> np.ndarray:
-    """For each block: words and link density of the block before, of itself and of the next; its markup; main markup anywhere."""
+    """For each block: words and link density of the block before, of itself and of the next; its markup; main markup anywhere outside boilerplate."""
     if not found:
         return np.zeros((0, 9))
     words = np.array([b[1] for b in found], dtype=float)
     density = np.array([b[2] for b in found]) / np.maximum(words, 1)
     around = [np.r_[0, x[:-1]] if k == 0 else x if k == 1 else np.r_[x[1:], 0] for k in range(3) for x in (words, density)]
-    main = np.array([b[4] for b in found], dtype=float)
+    page = any(b[4] and not b[3] for b in found)
+    main = np.array([b[4] and page for b in found], dtype=float)
     return np.column_stack([*around, [float(b[3]) for b in found], main, np.full(len(found), main.max())])
 
 
