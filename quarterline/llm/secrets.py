@@ -78,14 +78,15 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def ownership(found: DataFrame) -> DataFrame:
     """For each candidate value's hash: how many repositories (documents) and owners hold it, and if it was ever assigned.
 
-    Each (hash, owner, repository) is reduced before the shuffle and counted in two steps, so a value that a
+    Copies of a text are one text of its least owner. Each (hash, text, owner, repository) is reduced before the shuffle and counted in steps, so a value that a
     third of all documents hold is no single task's work.
     """
     spans = F.explode(F.concat("base", "loose")).alias("s")
     held = found.where((F.size("base") > 0) | (F.size("loose") > 0)).select("doc_id", "text_hash", "owner", spans)
-    held = held.select(F.sha2("s.value", 256).alias("value_hash"), "owner", F.xxhash64("doc_id", "text_hash").alias("repository"), (F.col("s.rank") == 0).alias("assigned"))
-    each = held.groupBy("value_hash", "owner", "repository").agg(F.max("assigned").alias("assigned"))
-    by_owner = each.groupBy("value_hash", "owner").agg(F.count("*").alias("repositories"), F.max("assigned").alias("assigned"))
+    held = held.select(F.sha2("s.value", 256).alias("value_hash"), "text_hash", "owner", F.xxhash64("doc_id", "text_hash").alias("repository"), (F.col("s.rank") == 0).alias("assigned"))
+    each = held.groupBy("value_hash", "text_hash", "owner", "repository").agg(F.max("assigned").alias("assigned"))
+    by_text = each.groupBy("value_hash", "text_hash").agg(F.min("owner").alias("owner"), F.count("*").alias("repositories"), F.max("assigned").alias("assigned"))
+    by_owner = by_text.groupBy("value_hash", "owner").agg(F.sum("repositories").alias("repositories"), F.max("assigned").alias("assigned"))
     return by_owner.groupBy("value_hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"), F.max("assigned").alias("assigned"))
 
 
@@ -138,15 +139,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mask: str = "[secret]") -> DataFrame:
-    """docs with every found value in its text replaced by the mask; rows without one stay as they are."""
+    """docs with every found value in its text replaced by the mask; rows without one stay as they are. A null id is an id."""
     found = stored(candidates(docs, id_col, text_col, owner_col).where((F.size("base") > 0) | (F.size("loose") > 0)), "candidates")
     owned = judged(found).select("doc_id", "text_hash", "owned")
-    hits = found.select("doc_id", "text_hash", "base").distinct().join(owned, ["doc_id", "text_hash"])
+    owned = owned.withColumnsRenamed({"doc_id": "judged_id", "text_hash": "judged_hash"})
+    same = F.col("doc_id").eqNullSafe(F.col("judged_id")) & (F.col("text_hash") == F.col("judged_hash"))
+    hits = found.select("doc_id", "text_hash", "base").distinct().join(owned, same)
     values = F.array_distinct(F.transform(F.array_sort(F.concat("base", "owned")), lambda s: s["value"]))
     longest_first = F.transform(F.sort_array(F.transform(values, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))), asc=False), lambda s: s["v"])
     hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), longest_first.alias("hit_values"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    both = docs.join(hits, (F.col(id_col) == F.col("hit_id")) & (F.xxhash64(text) == F.col("hit_hash")), "left")
+    both = docs.join(hits, F.col(id_col).eqNullSafe(F.col("hit_id")) & (F.xxhash64(text) == F.col("hit_hash")), "left")
     new = F.when(F.col("hit_values").isNull(), F.col(text_col)).otherwise(F.aggregate("hit_values", text, lambda t, v: F.replace(t, v, F.lit(mask))))
     return both.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
