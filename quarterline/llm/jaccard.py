@@ -5,15 +5,17 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .shared import connected_components, map_texts, read_table, recall_depth, stored
 
 NGRAM = 5
 SIMILARITY = 0.8
 TREES, DEEPEST, RECALL = 32, 8, 0.9999
-#: Documents of one block; larger candidate clusters are verified block against block.
-BLOCK = 256
+#: Most documents, and bytes of text on average, of one block; larger candidate clusters are verified block against block.
+BLOCK, BLOCK_BYTES = 1024, 1 << 22
+#: Parts that the documents of a class of equal words are dealt to, so that no class is one task.
+SALTS = 256
 MEMO = 300_000
 _words = re.compile(r"\w+").findall
 _rng = np.random.default_rng(20)
@@ -61,7 +63,7 @@ def labels(grams: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(doc_id, same_a, same_b, trie): texts with equal words have equal hashes; no words give nulls."""
+    """(doc_id, text_hash, same_a, same_b, trie): texts with equal words have equal hashes; no words give nulls."""
 
     def make():
         import xxhash
@@ -81,48 +83,92 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
 
         return run
 
-    return map_texts(docs, {id_col: "doc_id"}, text_col, "same_a long, same_b long, trie binary", make)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _text_hash(text_col).alias("text_hash"))
+    return map_texts(rows, {"doc_id": "doc_id", "text_hash": "text_hash"}, "text", "same_a long, same_b long, trie binary", make)
 
 
-def neighbours(tries: DataFrame, depth: int) -> DataFrame:
-    """Edges (a, b) that connect all documents whose label shares a prefix of the given depth in some tree.
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
-    Labels are sorted over the whole cluster, tree by tree; in that order the documents below a node of the
-    trie stand together, so each is tied to the one before it. A node whose documents reach over several
-    partitions is tied together through the first and last rows of each, two per partition.
+
+def neighbours(tries: DataFrame, shallowest: int) -> DataFrame:
+    """Pairs (a, b, depth) of neighbours in the sorted tries; depth is the longest prefix of their labels that they share.
+
+    Labels are sorted over the whole cluster, tree by tree; in that order the classes below a node of the
+    trie stand together, so the pairs of at least its depth tie them all. A node whose classes reach over several
+    partitions is tied together through the first and last rows of each, two per partition. Pairs that
+    share less than the shallowest prefix are left out.
     """
     width = 2 * DEEPEST
-    rows = tries.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "trie")
-    rows = rows.select("tree", F.expr(f"substring(trie, tree * {width} + 1, {width})").alias("label"), "doc_id")
-    rows = rows.repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id")
+    rows = tries.select("class", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "trie")
+    rows = rows.select("tree", F.expr(f"substring(trie, tree * {width} + 1, {width})").alias("label"), "class")
+    rows = rows.repartitionByRange("tree", "label", "class").sortWithinPartitions("tree", "label", "class")
 
     def walk(batches):
         import pyarrow as pa
 
-        def table(tree, prefix, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(prefix, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["tree", "prefix", "a", "b"])
+        def table(tree, label, a, b, depth):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(tree, pa.int32()), pa.array(label, pa.binary()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(depth, pa.int32())],
+                names=["tree", "label", "a", "b", "depth"],
+            )
 
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             tree = batch.column(0).to_numpy(zero_copy_only=False)
-            label = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, width)[:, : 2 * depth]
+            label = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u2").reshape(-1, DEEPEST)
             ids = batch.column(2).to_numpy(zero_copy_only=False)
             if last is None:
-                yield table([int(tree[0])], [label[0].tobytes()], [int(ids[0])], [None])
+                yield table([int(tree[0])], [label[0].tobytes()], [int(ids[0])], [None], [None])
             else:
                 tree, label, ids = np.r_[last[0], tree], np.vstack([last[1], label]), np.r_[last[2], ids]
-            tied = (tree[1:] == tree[:-1]) & (label[1:] == label[:-1]).all(axis=1)
-            at = np.flatnonzero(tied)
-            yield table(np.zeros(len(at), np.int32), [None] * len(at), ids[at], ids[at + 1])
+            shared = np.logical_and.accumulate(label[1:] == label[:-1], axis=1).sum(axis=1)
+            at = np.flatnonzero((tree[1:] == tree[:-1]) & (shared >= shallowest) & (ids[1:] != ids[:-1]))
+            yield table(np.zeros(len(at), np.int32), [None] * len(at), ids[at], ids[at + 1], shared[at])
             last = tree[-1:], label[-1:], ids[-1:]
         if last is not None:
-            yield table([int(last[0][0])], [last[1][0].tobytes()], [int(last[2][0])], [None])
+            yield table([int(last[0][0])], [last[1][0].tobytes()], [int(last[2][0])], [None], [None])
+
+    found = stored(rows.mapInArrow(walk, "tree int, label binary, a long, b long, depth int"), "neighbours")
+    ends = found.where("b is null").select("tree", "label", "a", F.explode(F.sequence(F.lit(shallowest), F.lit(DEEPEST))).alias("depth"))
+    ends = ends.groupBy("tree", "depth", F.expr("substring(label, 1, 2 * depth)")).agg(F.min("a").alias("a"), F.collect_set("a").alias("all"))
+    pairs = found.where("b is not null").select("a", "b", "depth").union(ends.select("a", F.explode("all").alias("b"), "depth"))
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "depth")
+    return pairs.groupBy("a", "b").agg(F.max("depth").alias("depth"))
+
+
+def meets(similarity: float | np.ndarray, depth: int) -> float | np.ndarray:
+    """The probability that two sets of this similarity share a prefix of the given depth in one of the trees."""
+    return -np.expm1(TREES * np.log1p(-np.minimum(similarity, 1 - 1e-12) ** depth))
+
+
+def matched_depth(pairs: DataFrame, tries: DataFrame, similarity: float, shallowest: int) -> int:
+    """The longest prefix with which the pairs in these data are found with a probability of RECALL.
+
+    All MinHash values of each pair of neighbours are compared, which estimates its similarity. From the deepest
+    level on the prefix is shortened until the pairs of at least the given similarity meet, on average, with the target
+    recall; the shallowest prefix reaches it for every such pair. A count for each number of
+    equal values comes to the driver.
+    """
+    sides = [tries.select(F.col("class").alias(c), F.col("trie").alias(f"trie_{c}")) for c in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("trie_a", "trie_b")
+
+    def agree(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=">u2").reshape(-1, TREES * DEEPEST) for k in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array((x == y).sum(axis=1).astype(np.int32))], names=["equal"])
 
-    found = stored(rows.mapInArrow(walk, "tree int, prefix binary, a long, b long"), "neighbours")
-    rim = found.where("b is null").groupBy("tree", "prefix").agg(F.min("a").alias("a"), F.collect_set("a").alias("all"))
-    return found.where("b is not null").select("a", "b").union(rim.select("a", F.explode("all").alias("b"))).where("a <> b").distinct()
+    counts = both.mapInArrow(agree, "equal int").groupBy("equal").count().collect()
+    alike = np.array([(r["equal"] / (TREES * DEEPEST), r["count"]) for r in counts]).reshape(-1, 2)
+    alike = alike[alike[:, 0] >= similarity]
+    depth = DEEPEST
+    while depth > shallowest and len(alike) and np.average(meets(alike[:, 0], depth), weights=alike[:, 1]) < RECALL:
+        depth -= 1
+    return depth if len(alike) else shallowest
 
 
 def _intersections(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
@@ -161,20 +207,20 @@ def links_between(texts_a: list[np.ndarray], texts_b: list[np.ndarray] | None, s
 def verify(members: DataFrame, similarity: float, n: int) -> DataFrame:
     """(a, b, n): for b null, n documents are linked to class a; else classes a and b are linked.
 
-    members has doc_id, cluster, n (documents of the class), block, blocks, text. Within each pair of blocks
+    members has class, cluster, n (documents of the class), block, blocks, text. Within each pair of blocks
     all classes are compared; of the links found, only as many are returned as connect the same classes.
     """
     pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
-    rows = members.select("doc_id", "cluster", "n", "block", "text", pair)
-    rows = rows.select("doc_id", "cluster", "n", "block", "text", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
+    rows = members.select("class", "cluster", "n", "block", "text", pair)
+    rows = rows.select("class", "cluster", "n", "block", "text", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"))
 
     def compare(key, batch):
         import pandas as pd
 
         hashed = word_hashes()
-        batch = batch.sort_values("doc_id", ignore_index=True)
+        batch = batch.sort_values("class", ignore_index=True)
         grams = [np.unique(shingles(hashed(_words(text.lower())), n)) for text in batch["text"]]
-        ids, weight = batch["doc_id"].to_numpy(), batch["n"].to_numpy()
+        ids, weight = batch["class"].to_numpy(), batch["n"].to_numpy()
         if key[1] == key[2]:
             left = right = np.arange(len(ids))
             x, y = links_between(grams, None, similarity)
@@ -215,50 +261,68 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, n: int = NGRAM
     class_id is the least id that links reach, representative the least id with the same words.
 
     Documents with the same words are one class from the start. Each class's MinHash labels go into the
-    sorted tries of a forest; prefixes are shortened from the deepest until a pair of exactly the given
-    similarity meets with probability RECALL. What meets is tied into candidate clusters, and within a
-    cluster all classes are compared exactly, in blocks of BLOCK, so no pair is emitted or compared twice.
+    sorted tries of a forest; matched prefixes are shortened from the deepest until the pairs in these data
+    meet with probability RECALL (matched_depth), or to the given depth. What meets is tied into candidate clusters, and within a
+    cluster all classes are compared exactly, in blocks, so no pair is emitted or compared twice.
 
-    Texts without words are linked to nothing; fewer than n words are one n-gram. Rows with the same id are
-    one document with the links of each. Null ids get null results. Ids are integers.
+    Texts without words are linked to nothing; fewer than n words are one n-gram. Repeated rows count once. An id
+    with several texts is one document whose links are those of each text added up. Null ids get null results.
+    Ids are integers. An empty table gives no rows; other columns are not read.
     """
-    depth = depth or recall_depth(similarity, TREES, DEEPEST, RECALL)
     signed = stored(signatures(docs, id_col, text_col, n), "signatures")
     named = signed.where("doc_id is not null and trie is not null")
-    classes = named.groupBy("same_a", "same_b").agg(F.min("doc_id").alias("representative"), F.count_distinct("doc_id").alias("n"))
-    member = stored(named.select("doc_id", "same_a", "same_b").distinct().join(classes, ["same_a", "same_b"]).select("doc_id", "representative", "n"), "members")
-    heads = member.where("doc_id = representative").select("doc_id", "n").groupBy("doc_id").agg(F.max("n").alias("n"))
-    tries = named.select("doc_id", "trie").join(heads, "doc_id", "left_semi")
-    clusters = connected_components(neighbours(tries, depth)).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = clusters.join(sizes, "cluster").join(heads, "doc_id")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    checked = stored(verify(placed.join(texts, "doc_id"), similarity, n), "links")
-    counts = checked.where("b is null").groupBy(F.col("a").alias("representative")).agg(F.sum("n").alias("others"))
+    same = ["same_a", "same_b"]
+    # A class of many documents is reduced, and later joined, in SALTS parts.
+    each = stored(named.select("doc_id", *same, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).distinct(), "each")
+    parts = stored(each.groupBy(*same, "salt").agg(F.min("doc_id").alias("least"), F.count("*").alias("part")), "parts")
+    classes = parts.groupBy(*same).agg(F.min("least").alias("representative"), F.sum("part").alias("n"))
+    # The numbers hold from here on, as they are written.
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    numbers = parts.select(*same, "salt").join(classes, same)
+    member = stored(each.join(numbers, [*same, "salt"]).select("doc_id", "class"), "members")
+
+    heads = classes.select("class", "n", F.col("representative").alias("doc_id"), *same)
+    first = named.join(heads, ["doc_id", *same]).groupBy("class", "doc_id", "n").agg(F.min(F.struct("text_hash", "trie")).alias("head"))
+    first = stored(first.select("class", "doc_id", "n", "head.text_hash", "head.trie"), "heads")
+    tries = first.select("class", "trie")
+    shallowest = min(depth or recall_depth(similarity, TREES, DEEPEST, RECALL), DEEPEST)
+    pairs = stored(neighbours(tries, shallowest), "pairs")
+    depth = depth or matched_depth(pairs, tries, similarity, shallowest)
+    clusters = connected_components(pairs.where(F.col("depth") >= depth)).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+
+    wanted = stored(clusters.join(first.select("class", "doc_id", "n", "text_hash"), "class"), "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(text_col).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    placed = texts.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["class"])
+    placed = stored(placed.select("class", "cluster", "n", "text"), "placed")
+    sizes = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = placed.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    checked = stored(verify(placed, similarity, n), "links")
+
+    counts = checked.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("others"))
     # An id with several texts ties its classes together.
-    ties = member.where("doc_id <> representative").select(F.col("doc_id").alias("a"), F.col("representative").alias("b"))
-    several = ties.join(heads.select(F.col("doc_id").alias("a")), "a", "left_semi")
-    joined = connected_components(checked.where("b is not null").select("a", "b").union(several.select("a", "b")))
-    joined = joined.select(F.col("node").alias("representative"), "component")
-    out = member.join(counts, "representative", "left").join(joined, "representative", "left")
-    out = out.select(
-        "doc_id",
-        F.coalesce("component", "representative").alias("class_id"),
-        (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
-        "representative",
-    )
+    several = member.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a <> z").select("doc_id", "a")
+    ties = member.join(several, "doc_id").select("a", F.col("class").alias("b"))
+    joined = connected_components(checked.where("b is not null").select("a", "b").union(ties)).withColumnRenamed("node", "class")
+    least = joined.join(classes.select("class", "representative"), "class").groupBy("component").agg(F.min("representative").alias("class_id"))
+    joined = joined.join(least, "component").select("class", "class_id")
+    known = classes.select("class", "representative", "n").join(counts, "class", "left").join(joined, "class", "left")
+    known = known.select("class", "representative", F.coalesce("class_id", "representative").alias("class_id"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    # Members go to their class in as many parts as before.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+    present = member.select("class", salt).distinct()
+    known = present.join(known, "class")
+    out = member.select("doc_id", "class", salt).join(known, ["class", "salt"])
     out = out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"), F.min("representative").alias("representative"))
-    without = signed.where("doc_id is null or trie is null").join(member.select("doc_id"), "doc_id", "left_anti")
-    without = without.select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("representative"))
+    without = signed.where("doc_id is null or trie is null").select("doc_id").distinct().join(member.select("doc_id"), "doc_id", "left_anti")
+    without = without.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("representative"))
     return out.unionByName(without).withColumnRenamed("doc_id", id_col)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the least id of their class; rows with a null id stay."""
+    """The documents with the least id of their class; rows with a null id stay. Columns of docs may have any name."""
     classes = jaccard_join(docs, id_col=id_col, text_col=text_col)
-    gone = classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("gone_id"))
-    return docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    gone = classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col))
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
