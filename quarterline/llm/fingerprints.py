@@ -11,6 +11,9 @@ K, TUPLES, PICKS = 2, 64, 2
 _HEX = 4
 _EMPTY = "0" * _HEX
 _PLACE_BITS = 24
+#: Characters of scripts that are written without spaces, and how many characters a word may have: what is beyond goes by characters.
+_UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}]"
+_LONGEST = 48
 
 
 def _let(value: Column, body) -> Column:
@@ -18,14 +21,25 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def order_minhash(text: Column) -> Column:
-    """TUPLES hashes of 16 bits as hexadecimal text; a tuple without k-mers is '0000'.
+def units(text: Column) -> Column:
+    """Array of words: what white space separates, single characters in scripts without spaces, and beyond the 48th in a word."""
+    spaced = F.when(text.rlike(_UNSPACED), F.regexp_replace(text, f"({_UNSPACED})", " $1 ")).otherwise(text)
+    spaced = F.when(text.rlike(rf"\S{{{_LONGEST + 1}}}"), F.regexp_replace(spaced, rf"(?<=\S{{{_LONGEST}}})(\S)", " $1")).otherwise(spaced)
+    return F.split(F.trim(F.regexp_replace(spaced, r"\s+", " ")), " ")
 
-    Words are what white space separates; a k-mer is K words in a row (a shorter text is one k-mer), numbered
-    by its occurrence, so repeats count. One hash deals each numbered k-mer to a tuple and ranks it there;
-    the PICKS least of a tuple, put back in the order of the text, are hashed together.
+
+def order_minhash(text: Column, rotate: bool = False) -> Column:
+    """TUPLES hashes of 16 bits as hexadecimal text.
+
+    A k-mer is K words in a row (a shorter text is one k-mer), numbered by its occurrence, so repeats count. One hash
+    gives the numbered k-mers places on a circle. Rotating it by multiples of 1 / TUPLES gives TUPLES permutations;
+    under each the PICKS least of all k-mers are selected, put back in the order of the text, and hashed together (rotate).
+    Each permutation is uniform, so the share of equal tuples estimates the same likeness as independent hashes do.
+    Without rotate only the k-mers of an arc of 1 / TUPLES are at choice, and a tuple without any is '0000'.
+
+    Place numbers end at 2^24 - 2: the order of the words behind them isn't told apart.
     """
-    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    words = units(text)
     place_mask = F.lit((1 << _PLACE_BITS) - 1).cast("long")
 
     def placed(w: Column) -> Column:
@@ -34,7 +48,7 @@ def order_minhash(text: Column) -> Column:
 
         def one(i: Column) -> Column:
             h = F.xxhash64(*[F.coalesce(F.get(w, i + j), F.lit("")) for j in range(K)])
-            return F.shiftleft(F.shiftright(h, _PLACE_BITS), _PLACE_BITS).bitwiseOR(i.cast("long"))
+            return F.shiftleft(F.shiftright(h, _PLACE_BITS), _PLACE_BITS).bitwiseOR(F.least(i, F.lit((1 << _PLACE_BITS) - 2)).cast("long"))
 
         return F.sort_array(F.transform(F.sequence(F.lit(0), n - 1), one))
 
@@ -62,19 +76,34 @@ def order_minhash(text: Column) -> Column:
         """The first PICKS of each tuple: those that PICKS places before belong to another tuple."""
         return F.filter(s, lambda x, i: (i < PICKS) | (F.shiftright(F.get(s, i - PICKS), shift) != F.shiftright(x, shift)))
 
-    def signed(p: Column) -> Column:
+    def tuple_of(mine: Column) -> Column:
+        ordered = F.array_sort(F.transform(mine, lambda x: F.struct(x.bitwiseAND(place_mask).alias("place"), F.shiftright(x, _PLACE_BITS).alias("kmer"))))
+        h = F.xxhash64(F.transform(ordered, lambda x: x["kmer"]))
+        # A tuple that hashes to the mark of an empty one takes the next value.
+        return F.lpad(F.lower(F.hex(F.greatest(F.shiftrightunsigned(h, 64 - 4 * _HEX), F.lit(1)))), _HEX, "0")
+
+    def binned(p: Column) -> Column:
         def one(t: Column) -> Column:
             mine = F.filter(p, lambda x: F.shiftright(x, shift) == t)
-            ordered = F.array_sort(F.transform(mine, lambda x: F.struct(x.bitwiseAND(place_mask).alias("place"), F.shiftright(x, _PLACE_BITS).alias("kmer"))))
-            h = F.xxhash64(F.transform(ordered, lambda x: x["kmer"]))
-            # A tuple that hashes to the mark of an empty one takes the next value.
-            value = F.greatest(F.shiftrightunsigned(h, 64 - 4 * _HEX), F.lit(1))
-            return F.when(F.size(mine) == 0, F.lit(_EMPTY)).otherwise(F.lpad(F.lower(F.hex(value)), _HEX, "0"))
+            return F.when(F.size(mine) == 0, F.lit(_EMPTY)).otherwise(tuple_of(mine))
 
         tuples = F.sequence(F.lit(-TUPLES // 2).cast("long"), F.lit(TUPLES // 2 - 1).cast("long"))
         return F.array_join(F.transform(tuples, one), "")
 
-    return _let(words, lambda w: _let(placed(w), lambda s: _let(numbered(s), lambda q: _let(least(q), signed))))
+    def rotated(p: Column) -> Column:
+        """The first two of each arc hold the two successors of the start of every arc. A mark that no k-mer equals is sorted
+        in before each start, so its place tells how many k-mers lie before."""
+        low = (1 << shift) - 1
+        marks = F.array(*[F.lit((t << shift) - 1) for t in range(-TUPLES // 2 + 1, TUPLES // 2)])
+        sorted_in = F.transform(F.sort_array(F.concat(p, marks)), lambda x, i: F.when(x.bitwiseAND(F.lit(low)) == low, i))
+        before = F.concat(F.array(F.lit(0)), F.transform(F.filter(sorted_in, lambda i: i.isNotNull()), lambda i, r: i - r))
+
+        def one(twice: Column) -> Column:
+            return F.array_join(F.transform(before, lambda at: tuple_of(F.slice(twice, at + 1, F.least(F.size(p), F.lit(PICKS))))), "")
+
+        return _let(F.concat(p, F.slice(p, 1, PICKS)), one)
+
+    return _let(words, lambda w: _let(placed(w), lambda s: _let(numbered(s), lambda q: _let(least(q), rotated if rotate else binned))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -112,14 +141,15 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The copy has its last floor(n / 4) code points replaced by as many from the start of the next document
     (all, if that has fewer). Next is by ascending id, after the last the first; rows of the same id follow
     each other by their text's hash, and rows alike in id and text are one document in that order and repeat
-    in the result. A null text counts as empty; a null id comes first. Only JVM expressions are used.
+    in the result. A null text counts as empty; a null id comes first. Ids are integers above -2^63. An empty table gives no
+    rows; other columns are not read. Only JVM expressions are used.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     unnamed = F.lit(-(1 << 63))
     # Both joins of the texts read exactly these columns, so that they share one exchange.
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), unnamed).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     # As bytes a fingerprint takes half the room of its text.
-    marked = stored(rows.select("doc_id", "text_hash", F.length("text").cast("long").alias("n_chars"), F.unhex(order_minhash(F.col("text"))).alias("fingerprint")), "fingerprints")
+    marked = stored(rows.select("doc_id", "text_hash", F.length("text").cast("long").alias("n_chars"), F.unhex(order_minhash(F.col("text"), rotate=True)).alias("fingerprint")), "fingerprints")
     one = marked.dropDuplicates(["doc_id", "text_hash"])
     chain = successors(one.select("doc_id", "text_hash"))
     # What each document has to give to the one before it.
@@ -129,7 +159,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     given = given.dropDuplicates(["to_id", "to_hash"]).select(F.col("to_id").alias("doc_id"), F.col("to_hash").alias("text_hash"), "tail")
     n = F.length("text")
     edited = rows.join(given, ["doc_id", "text_hash"]).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 4)).cast("int")), "tail"))
-    edited = edited.select("doc_id", "text_hash", F.sha2("edited", 256).alias("edited_sha256"), order_minhash(F.col("edited")).alias("edited_fingerprint"))
+    edited = edited.select("doc_id", "text_hash", F.sha2("edited", 256).alias("edited_sha256"), order_minhash(F.col("edited"), rotate=True).alias("edited_fingerprint"))
     following = chain.join(one.select(F.col("doc_id").alias("next_id"), F.col("text_hash").alias("next_hash"), F.col("fingerprint").alias("next_fingerprint")), ["next_id", "next_hash"])
     full = edited.join(one, ["doc_id", "text_hash"]).join(following.select("doc_id", "text_hash", "next_fingerprint"), ["doc_id", "text_hash"])
     full = full.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "next_fingerprint")})
