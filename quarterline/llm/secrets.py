@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import read_table, stored
+from .shared import join_by_key, read_table, stored
 
 # The patterns of the base kinds, and the least length of what counts.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 #: Bare words that may be credentials: counted over the corpus before they are believed.
-LOOSE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-])"
+LOOSE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,}(?![A-Za-z0-9_-])"
 KINDS = ("assign", "access", "hex", "owned")
-#: A value held by this many owners is taken for an example that is copied around.
-COPIED_OWNERS = 3
+#: A value held by this many owners, or in this many repositories, is taken for an example that is copied around.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 25
 
 
 def _located(text: Column, pattern: str, group: int, rank: int) -> Column:
@@ -24,7 +24,7 @@ def _located(text: Column, pattern: str, group: int, rank: int) -> Column:
     between = F.split(text, pattern, -1)
     parts = F.arrays_zip(found.alias("found"), values.alias("value"), F.slice(between, 1, F.greatest(F.size(found), F.lit(1))).alias("gap"))
     parts = F.filter(parts, lambda p: p["found"].isNotNull())
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>").alias("out"))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
 
     def add(state: Column, p: Column) -> Column:
         start = state["at"] + F.length(p["gap"])
@@ -35,12 +35,23 @@ def _located(text: Column, pattern: str, group: int, rank: int) -> Column:
     return F.aggregate(parts, empty, add, lambda state: state["out"])
 
 
-_SPANS = "array<struct<start:int,rank:int,end:int,value:string>>"
+_FOUND = "array<struct<start:int,rank:int,end:int,value:string>>"
+#: Of a value only its place and its hash are ever written.
+_SPANS = "array<struct<start:int,rank:int,end:int,from:int,value_hash:string>>"
+
+
+def hashed(spans: Column) -> Column:
+    """The spans with the start of their value, which reaches to the end of the span, and its hash in place of the value."""
+
+    def one(s: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), (s["end"] - F.length(s["value"])).alias("from"), F.sha2(s["value"], 256).alias("value_hash"))
+
+    return F.transform(spans, one)
 
 
 def base_spans(text: Column) -> Column:
     """Spans of the base kinds, in the order of their start and then kind; texts without any cost one test a kind."""
-    none = F.array().cast(_SPANS)
+    none = F.array().cast(_FOUND)
     assign = F.when(text.rlike(r"(?i)pass(word|wd)|secret|token|api_?key"), F.filter(_located(text, ASSIGN, 2, 0), lambda s: F.length(s["value"]) >= 8)).otherwise(none)
     access = F.when(text.contains("AKIA"), _located(text, ACCESS, 0, 1)).otherwise(none)
     hexes = F.when(text.rlike(HEX), _located(text, HEX, 0, 2)).otherwise(none)
@@ -49,8 +60,8 @@ def base_spans(text: Column) -> Column:
 
 def loose_spans(text: Column, base: Column) -> Column:
     """Bare words of letters and digits outside the base spans, with a mixture that prose doesn't have."""
-    none = F.array().cast(_SPANS)
-    spans = F.when(text.rlike(r"[A-Za-z0-9_-]{20}") & text.rlike(LOOSE), _located(text, LOOSE, 0, 3)).otherwise(none)
+    none = F.array().cast(_FOUND)
+    spans = F.when(text.rlike(r"[0-9]") & text.rlike(LOOSE), _located(text, LOOSE, 0, 3)).otherwise(none)
 
     def looks_random(s: Column) -> Column:
         value = s["value"]
@@ -72,41 +83,43 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), text.alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("loose", loose_spans(F.col("text"), F.col("base")))
-    return rows.select("doc_id", "owner", F.xxhash64("text").alias("text_hash"), "base", "loose")
+    return rows.select("doc_id", "owner", F.xxhash64("text").alias("text_hash"), hashed(F.col("base")).alias("base"), hashed(F.col("loose")).alias("loose"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """For each candidate value's hash: how many repositories (documents) and owners hold it, and if it was ever assigned.
+    """For each candidate value's hash: how many repositories and owners hold it, if it was ever assigned, and in how many spans (n).
 
-    Copies of a text are one text of its least owner. Each (hash, text, owner, repository) is reduced before the shuffle and counted in steps, so a value that a
-    third of all documents hold is no single task's work.
+    A repository is a text: copies of it are one repository, of its least owner. Each (value, text, owner) is reduced before
+    the shuffle and counted in steps, so a value that a third of all documents hold is no single task's work.
     """
-    spans = F.explode(F.concat("base", "loose")).alias("s")
-    held = found.where((F.size("base") > 0) | (F.size("loose") > 0)).select("doc_id", "text_hash", "owner", spans)
-    held = held.select(F.sha2("s.value", 256).alias("value_hash"), "text_hash", "owner", F.xxhash64("doc_id", "text_hash").alias("repository"), (F.col("s.rank") == 0).alias("assigned"))
-    each = held.groupBy("value_hash", "text_hash", "owner", "repository").agg(F.max("assigned").alias("assigned"))
-    by_text = each.groupBy("value_hash", "text_hash").agg(F.min("owner").alias("owner"), F.count("*").alias("repositories"), F.max("assigned").alias("assigned"))
-    by_owner = by_text.groupBy("value_hash", "owner").agg(F.sum("repositories").alias("repositories"), F.max("assigned").alias("assigned"))
-    return by_owner.groupBy("value_hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"), F.max("assigned").alias("assigned"))
+    held = _exploded(found.select("text_hash", "owner", "base", "loose"), "text_hash", "owner")
+    each = held.groupBy("value_hash", "text_hash", "owner").agg(F.max(F.col("s.rank") == 0).alias("assigned"), F.count("*").alias("n"))
+    by_text = each.groupBy("value_hash", "text_hash").agg(F.min("owner").alias("owner"), F.max("assigned").alias("assigned"), F.sum("n").alias("n"))
+    by_owner = by_text.groupBy("value_hash", "owner").agg(F.count("*").alias("repositories"), F.max("assigned").alias("assigned"), F.sum("n").alias("n"))
+    return by_owner.groupBy("value_hash").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"), F.max("assigned").alias("assigned"), F.sum("n").alias("n"))
+
+
+def _exploded(found: DataFrame, *keep: str) -> DataFrame:
+    some = found.where((F.size("base") > 0) | (F.size("loose") > 0))
+    return some.select(*keep, F.explode(F.concat("base", "loose")).alias("s")).withColumn("value_hash", F.col("s.value_hash"))
 
 
 def judged(found: DataFrame) -> DataFrame:
     """Candidates with their added spans (owned), and how many spans look live or copied.
 
-    A loose word is added if the same value is assigned to a key somewhere, or if a single owner holds it.
+    A value is copied if COPIED_OWNERS owners hold it, or COPIED_REPOSITORIES repositories; else it looks live. A loose
+    word is added if the same value is assigned to a key somewhere, or if a single owner holds it and it isn't copied.
     """
     some = found.where((F.size("base") > 0) | (F.size("loose") > 0)).select("doc_id", "text_hash", "base", "loose").distinct()
-    spans = some.select("doc_id", "text_hash", F.explode(F.concat("base", "loose")).alias("s")).withColumn("value_hash", F.sha2("s.value", 256))
-    known = spans.join(ownership(found), "value_hash")
-    live = F.col("owners") < COPIED_OWNERS
-    added = (F.col("s.rank") == 3) & (F.col("assigned") | (F.col("owners") == 1))
+    known = join_by_key(_exploded(some, "doc_id", "text_hash"), stored(ownership(found), "ownership"), ["value_hash"])
+    live = (F.col("owners") < COPIED_OWNERS) & (F.col("repositories") < COPIED_REPOSITORIES)
+    added = (F.col("s.rank") == 3) & (F.col("assigned") | (F.col("owners") == 1) & live)
     counted = (F.col("s.rank") < 3) | added
-    kept = known.groupBy("doc_id", "text_hash").agg(
+    return known.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_list(F.when(added, F.col("s")))).alias("owned"),
         F.count(F.when(counted & live, 1)).alias("n_live"),
         F.count(F.when(counted & ~live, 1)).alias("n_copied"),
     )
-    return kept
 
 
 def _count(spans: str, rank: int) -> Column:
@@ -116,9 +129,9 @@ def _count(spans: str, rank: int) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """One row for each input row: counts and hash of the base spans, all spans, and their ownership.
 
-    The document is the repository, owner_col its owner (a null owner is an owner like any other). A null or
-    empty text has no spans. Repeated rows give repeated results and count as one repository. Other columns
-    of docs are not read. Only JVM expressions are used.
+    A text is a repository, owner_col its owner (a null owner is an owner like any other). A null or
+    empty text has no spans. Repeated rows give repeated results, and copies count as one repository. Other columns
+    of docs are not read. An empty table gives no rows. Only JVM expressions are used.
     """
     found = stored(candidates(docs, id_col, text_col, owner_col), "candidates")
     some = (F.size("base") > 0) | (F.size("loose") > 0)
@@ -139,19 +152,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", mask: str = "[secret]") -> DataFrame:
-    """docs with every found value in its text replaced by the mask; rows without one stay as they are. A null id is an id."""
-    found = stored(candidates(docs, id_col, text_col, owner_col).where((F.size("base") > 0) | (F.size("loose") > 0)), "candidates")
-    owned = judged(found).select("doc_id", "text_hash", "owned")
-    owned = owned.withColumnsRenamed({"doc_id": "judged_id", "text_hash": "judged_hash"})
+    """docs with the value of every span replaced by the mask; spans that overlap get one mask.
+
+    The same word outside a span stays. Rows without a span stay as they are; a null id is an id. Columns of docs
+    may have any name, and their order stays.
+    """
+    all_found = candidates(docs, id_col, text_col, owner_col)
+    found = stored(all_found.where((F.size("base") > 0) | (F.size("loose") > 0)), "candidates")
+    owned = judged(found).select(F.col("doc_id").alias("judged_id"), F.col("text_hash").alias("judged_hash"), "owned")
     same = F.col("doc_id").eqNullSafe(F.col("judged_id")) & (F.col("text_hash") == F.col("judged_hash"))
     hits = found.select("doc_id", "text_hash", "base").distinct().join(owned, same)
-    values = F.array_distinct(F.transform(F.array_sort(F.concat("base", "owned")), lambda s: s["value"]))
-    longest_first = F.transform(F.sort_array(F.transform(values, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))), asc=False), lambda s: s["v"])
-    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), longest_first.alias("hit_values"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    both = docs.join(hits, F.col(id_col).eqNullSafe(F.col("hit_id")) & (F.xxhash64(text) == F.col("hit_hash")), "left")
-    new = F.when(F.col("hit_values").isNull(), F.col(text_col)).otherwise(F.aggregate("hit_values", text, lambda t, v: F.replace(t, v, F.lit(mask))))
-    return both.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    values = F.transform(F.concat("base", "owned"), lambda s: F.struct(s["from"].alias("from"), s["end"].alias("end")))
+    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), F.array_sort(values).alias("hit_values"))
+    keep = {c: f"kept_{k}" for k, c in enumerate(docs.columns)}
+    named = docs.select(*[F.col(c).alias(new) for c, new in keep.items()])
+    text = F.coalesce(F.col(keep[text_col]), F.lit(""))
+    both = named.join(hits, F.col(keep[id_col]).eqNullSafe(F.col("hit_id")) & (F.xxhash64(text) == F.col("hit_hash")), "left")
+
+    def add(state: Column, v: Column) -> Column:
+        """Text up to the value and a mask; a value that begins within the last one only moves the end."""
+        between = F.substring(text, state["at"] + 1, F.greatest(v["from"] - state["at"], F.lit(0)))
+        out = F.when(v["from"] >= state["at"], F.concat(state["out"], between, F.lit(mask))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], v["end"]).alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    new = F.aggregate("hit_values", start, add, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    new = F.when(F.col("hit_values").isNull() | (F.size("hit_values") == 0), F.col(keep[text_col])).otherwise(new)
+    return both.select(*[(new if c == text_col else F.col(kept)).alias(c) for c, kept in keep.items()])
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

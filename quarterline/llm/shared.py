@@ -22,14 +22,58 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 
+#: Keys that hold more than 1 / HOT of all rows, of which there can be HOT at most, are broadcast in join_by_key.
+HOT = 10_000
+#: Folders of the tables written by this process that are still there, in order.
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage.
 
     A lost executor then costs no more than its running tasks.
     """
     path = fresh_folder(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _written.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables. Only for those that nothing reads any more: what was made of them is stored itself."""
+    for df in tables:
+        _delete(df.sparkSession, df.stored_path)
+
+
+def written() -> int:
+    """A mark for discard_since."""
+    return len(_written)
+
+
+def discard_since(spark: SparkSession, mark: int) -> None:
+    """Deletes the tables stored since the mark, when the result that was made of them has been written."""
+    for path in _written[mark:]:
+        _delete(spark, path)
+
+
+def join_by_key(rows: DataFrame, keys: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """rows with what keys, a stored table of one row for each value of on, has for them; n is about how many rows a value has.
+
+    Values that hold more than 1 / HOT of all are fewer than HOT whatever the input, so these are broadcast and their rows
+    stay where they are. The others are joined by a shuffle in which none of them makes a task of its own.
+    """
+    often = (keys.agg(F.sum(n)).first()[0] or 0) / HOT
+    hot, cold = keys.where(F.col(n) > often), keys.where(F.col(n) <= often)
+    few = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
+    return rows.join(F.broadcast(hot), on).unionByName(few)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -53,13 +97,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         steps.append(stored(first.join(second, "up").select("node", F.col("top").alias("up")), "steps"))
         left, right = (steps[-1].select(F.col("node").alias(c), F.col("up").alias(f"up_{c}")) for c in ("a", "b"))
         moved = both.join(left, "a").join(right, "b").where("up_a <> up_b")
-        both = stored(moved.select(F.col("up_a").alias("a"), F.col("up_b").alias("b")).distinct(), "edges")
+        before, both = both, stored(moved.select(F.col("up_a").alias("a"), F.col("up_b").alias("b")).distinct(), "edges")
+        discard(before, first)
     if not steps:
         return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = steps.pop()
     while steps:
-        later = roots.select(F.col("node").alias("up"), F.col("up").alias("root"))
-        roots = stored(steps.pop().join(later, "up", "left").select("node", F.coalesce("root", "up").alias("up")), "roots")
+        later, step = roots.select(F.col("node").alias("up"), F.col("up").alias("root")), steps.pop()
+        before, roots = roots, stored(step.join(later, "up", "left").select("node", F.coalesce("root", "up").alias("up")), "roots")
+        discard(before, step)
     least = roots.groupBy("up").agg(F.min("node").alias("component"))
     return stored(roots.join(least, "up").select("node", "component"), "components")
 
