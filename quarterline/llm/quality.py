@@ -1,16 +1,19 @@
-"""Text quality by positive-unlabelled learning with a non-negative risk."""
+"""Text quality by positive-unlabelled learning: a non-negative risk over all unlabelled texts, and an estimated class prior."""
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import map_texts, read_table
+from .shared import discard, map_texts, read_table, stored
 
-#: Bounds of the training sample: trusted positives, and unlabelled documents.
-POSITIVES = UNLABELLED = 12_000
+#: Most trusted positives, the first by a hash of the id. Unlabelled are all documents of the training folds.
+POSITIVES = 12_000
+#: Buckets of character trigrams, a power of two, and units of the fixed hidden layer.
+TRIGRAMS, UNITS = 64, 96
 FEATURES = (
     "log_chars", "log_words", "word_length", "symbols", "upper", "digits", "pipes", "marks", "non_ascii", "short_words", "long_words",
     "distinct_words", "repeated_neighbours", "line_length", "distinct_lines", "top_word", "ends", "spaces", "upper_words",
@@ -43,56 +46,85 @@ def describe(text: str) -> list[float]:
     ]
 
 
+def trigrams(text: str) -> np.ndarray:
+    """Square roots of the shares of hashed character trigrams; texts of fewer characters have zeros."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    if len(codes) < 3:
+        return np.zeros(TRIGRAMS)
+    with np.errstate(over="ignore"):
+        mixed = codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x85EBCA6B) + codes[2:] * np.uint32(0xC2B2AE35)
+        mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return np.sqrt(np.bincount(mixed >> np.uint32(33 - TRIGRAMS.bit_length()), minlength=TRIGRAMS) / len(mixed))
+
+
+def vector(text: str) -> bytes:
+    """All features of a whole text as 32-bit floats."""
+    return np.r_[describe(text), trigrams(text)].astype("<f4").tobytes()
+
+
+def matrix(vectors: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), dtype="<f4").reshape(len(vectors), len(FEATURES) + TRIGRAMS).astype(float)
+
+
 class Net:
-    """One hidden layer on standardised features; the score is a probability."""
+    """A linear function of standardised features and a fixed hidden layer; the score grows with it and is 0.3 at the cut."""
 
-    def __init__(self, mean, scale, w1, b1, w2, b2):
-        self.mean, self.scale, self.w1, self.b1, self.w2, self.b2 = mean, scale, w1, b1, w2, b2
+    def __init__(self, positive: np.ndarray, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        self.mean, self.scale = positive.mean(axis=0), positive.std(axis=0) + 1e-3
+        self.inner = rng.normal(0, len(FEATURES) ** -0.5, (len(FEATURES), UNITS)), rng.normal(0, 1, UNITS)
+        self.weights, self.cut = np.zeros(1 + len(FEATURES) + TRIGRAMS + UNITS), 0.0
 
-    def hidden(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return z, np.tanh(z @ self.w1 + self.b1)
+    def basis(self, x: np.ndarray) -> np.ndarray:
+        z = np.clip((x - self.mean) / self.scale, -4, 4)
+        return np.hstack([np.ones((len(z), 1)), z, np.tanh(z[:, : len(FEATURES)] @ self.inner[0] + self.inner[1])])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.hidden(x)[1] @ self.w2 + self.b2, -30, 30)))
+        return 1 / (1 + np.exp(np.clip(-4 * (self.basis(x) @ self.weights - self.cut) - np.log(0.3 / 0.7), -30, 30)))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, units: int = 24, epochs: int = 60, batch: int = 512, rate: float = 5e-3, seed: int = 7) -> Net:
-    """Minimises prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)]) with the logistic loss.
+def risk(w: np.ndarray, positive: tuple, unlabelled: tuple, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Two parts of the risk of g = w f with the squared loss (1 - y g)^2 / 4, and their gradients.
 
-    Where the estimate of the negatives' risk falls below zero, the step goes the other way for that part,
-    so that the network unlearns what it fitted too closely.
+    The part of the positives, prior * E_p[loss(+)], and that of the negatives, E_u[loss(-)] - prior * E_p[loss(-)]; both
+    depend on the data through the mean m and second moments s of the basis f alone, of positives and of unlabelled.
     """
-    rng = np.random.default_rng(seed)
-    both = np.vstack([positive, unlabelled])
-    width = both.shape[1]
-    net = Net(both.mean(0), both.std(0) + 1e-6, rng.normal(0, width**-0.5, (width, units)), np.zeros(units), rng.normal(0, units**-0.5, units), 0.0)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (net.w1, net.b1, net.w2, np.zeros(1))]
-    step = 0
-
-    def back(x, slope):
-        z, h = net.hidden(x)
-        g = slope[:, None] * net.w2 * (1 - h * h)
-        return [z.T @ g, g.sum(0), h.T @ slope, np.array([slope.sum()])]
-
-    for _ in range(epochs):
-        for at in np.array_split(rng.permutation(len(unlabelled)), max(1, len(unlabelled) // batch)):
-            xu, xp = unlabelled[at], positive[rng.integers(0, len(positive), len(at))]
-            pu, pp = net.score(xu), net.score(xp)
-            negative = -np.log(1 - pu + 1e-12).mean() + prior * np.log(1 - pp + 1e-12).mean()
-            if negative >= 0:
-                grads = [a + b for a, b in zip(back(xu, pu / len(at)), back(xp, (prior * (pp - 1) - prior * pp) / len(at)))]
-            else:
-                grads = [a + b for a, b in zip(back(xu, -pu / len(at)), back(xp, prior * pp / len(at)))]
-            grads = [g + 1e-4 * p for g, p in zip(grads, (net.w1, net.b1, net.w2, np.array([net.b2])))]
-            step += 1
-            moves = []
-            for g, s in zip(grads, state):
-                s[0] += 0.1 * (g - s[0])
-                s[1] += 0.001 * (g * g - s[1])
-                moves.append(rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.999**step)) + 1e-8))
-            net.w1, net.b1, net.w2, net.b2 = net.w1 - moves[0], net.b1 - moves[1], net.w2 - moves[2], float(net.b2 - moves[3][0])
-    return net
+    (mp, sp), (mu, su) = positive, unlabelled
+    loss = lambda sign, m, s: (1 - 2 * sign * (w @ m) + w @ s @ w) / 4
+    slope = lambda sign, m, s: (s @ w - sign * m) / 2
+    return prior * loss(1, mp, sp), loss(-1, mu, su) - prior * loss(-1, mp, sp), prior * slope(1, mp, sp), slope(-1, mu, su) - prior * slope(-1, mp, sp)
+
+
+def fit_pu(positive: tuple, unlabelled: tuple, prior: float, steps: int = 1500, rate: float = 0.01, ridge: float = 1e-3) -> np.ndarray:
+    """Minimises the positives' part + max(0, the negatives' part) of the risk.
+
+    Where the estimate of the negatives' part falls below zero, the step goes the other way for that part,
+    so that the function unlearns what it fitted too closely.
+    """
+    w = np.zeros(len(positive[0]))
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        _, negative, slope_p, slope_n = risk(w, positive, unlabelled, prior)
+        slope = (slope_p + slope_n if negative >= 0 else -slope_n) + ridge * w
+        first += 0.1 * (slope - first)
+        second += 0.001 * (slope * slope - second)
+        w = w - rate * (1 - step / steps) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def estimate_prior(above_p: np.ndarray, above_u: np.ndarray, n_p: int, n_u: int, delta: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from the shares of both above a number of cuts.
+
+    Among what a classifier ranks highest all are positive, so the ratio of the two shares there is the prior; below,
+    negatives raise it. The cut with the least upper confidence bound of the ratio is taken.
+    """
+    slack = np.sqrt(np.log(4 / delta) / 2 / n_u) + np.sqrt(np.log(4 / delta) / 2 / n_p)
+    at = ((above_u + 1.01 * slack) / above_p).argmin()
+    return float(np.clip(above_u[at] / above_p[at], 0.01, 0.99))
+
+
+def moments(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return f.mean(axis=0), f.T @ f / len(f)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -100,52 +132,124 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _features(docs: DataFrame) -> DataFrame:
-    return map_texts(docs, {"doc_id": "doc_id"}, "text", "x array<double>", lambda: lambda texts: ([[describe(text) for text in texts]], None))
+def _sums(vectors: DataFrame, net: Net) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
+    """Number, and mean and second moments of the basis, of all vectors: added up in each partition, then in 32, then here."""
+    width = len(net.weights)
+
+    def add(batches):
+        import pyarrow as pa
+
+        total, n = np.zeros((width, width)), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                f = net.basis(matrix(batch.slice(at, 2000).column(0).to_pylist()))
+                total += f.T @ f
+                n += len(f)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["total", "n"])
+
+    def again(batches):
+        import pyarrow as pa
+
+        total, n = np.zeros((width, width)), 0
+        for batch in batches:
+            for part, k in zip(batch.column(0), batch.column(1).to_pylist()):
+                total += np.frombuffer(part.as_py()).reshape(width, width)
+                n += k
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["total", "n"])
+
+    kind = "total binary, n long"
+    rows = vectors.select("x").mapInArrow(add, kind).repartition(32).mapInArrow(again, kind).collect()
+    n = sum(r["n"] for r in rows)
+    total = sum(np.frombuffer(r["total"]).reshape(width, width) for r in sorted(rows, key=lambda r: bytes(r["total"]))) / n
+    # The first of the basis is the constant.
+    return n, (total[0], total)
+
+
+def _share_above(vectors: DataFrame, net: Net, weights: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Shares of the vectors at or above each of the ascending cuts; a count for each cut comes to the driver."""
+
+    def place(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            counts = np.zeros(len(cuts) + 1, dtype=np.int64)
+            for at in range(0, batch.num_rows, 2000):
+                g = net.basis(matrix(batch.slice(at, 2000).column(0).to_pylist())) @ weights
+                counts += np.bincount(np.searchsorted(cuts, g, side="right"), minlength=len(cuts) + 1)
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["place", "n"])
+
+    counts = np.zeros(len(cuts) + 1)
+    for row in vectors.select("x").mapInArrow(place, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
+        counts[row["place"]] = row["n"]
+    return counts[::-1].cumsum()[::-1][1:] / counts.sum()
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Net | None:
-    """Fits on at most POSITIVES trusted documents and UNLABELLED others, both the first by a hash of the id.
+    """Fits on at most POSITIVES trusted documents and on all documents of the training folds as unlabelled ones.
 
-    The prior is the share of ones among the labels of the training folds. None if there are no positives.
+    Labels other than the trusted positives are never read. The risk needs the unlabelled documents' mean and
+    second moments only, so each is read whole and none comes to the driver. The prior is estimated with a least-squares classifier
+    of one half of the positives against the unlabelled, on the other half. The cut, where the score is 0.3, leaves the
+    prior's share of the unlabelled above it, and 199 of 200 trusted documents. None if there are no positives.
     """
-    labels = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).where(~held_out("doc_id") & F.col("y").isNotNull())
-    prior = labels.agg(F.avg("y")).first()[0]
-    if not prior:
-        return None
+    labels = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).where(~held_out("doc_id") & (F.col("y") == 1))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(~held_out("doc_id"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    trusted = labels.where("y = 1").select("doc_id").distinct().orderBy(*order).limit(POSITIVES).withColumn("trusted", F.lit(1))
-    others = texts.select("doc_id").orderBy(*order).limit(UNLABELLED).distinct().withColumn("web", F.lit(1))
-    # At most POSITIVES + UNLABELLED ids, so each side can be broadcast whatever the size of the corpus.
-    chosen = trusted.join(others, "doc_id", "full")
-    rows = _features(texts.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (str(r["doc_id"]), r["x"]))
-    positive = np.array([r["x"] for r in rows if r["trusted"]]).reshape(-1, len(FEATURES))
-    web = np.array([r["x"] for r in rows if r["web"]]).reshape(-1, len(FEATURES))
-    return fit_pu(positive, web, min(float(prior), 0.99)) if len(positive) and len(web) else None
+    # At most POSITIVES ids, so they can be broadcast whatever the size of the corpus.
+    trusted = labels.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), F.col("doc_id")).limit(POSITIVES)
+    made = map_texts(texts, {"doc_id": "doc_id"}, "text", "x binary", lambda: lambda some: ([[vector(text) for text in some]], None))
+    vectors = stored(made, "vectors")
+    # Of an id with several texts one is taken.
+    rows = vectors.join(F.broadcast(trusted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
+    if not rows:
+        discard(vectors)
+        return None
+    rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"])))
+    positive = matrix([bytes(r["x"]) for r in rows])
+    net = Net(positive)
+    basis = net.basis(positive)
+    n, unlabelled = _sums(vectors, net)
+
+    one, other = (basis[::2], basis[1::2]) if len(basis) > 1 else (basis, basis)
+    (mean, second), width = moments(one), basis.shape[1]
+    ranking = np.linalg.solve((second + unlabelled[1]) / 2 + (0.01 + width / len(basis)) * np.eye(width), (mean - unlabelled[0]) / 2)
+    ranked = np.sort(other @ ranking)
+    cuts = np.unique(ranked[(np.linspace(0, 0.99, 200) * len(ranked)).astype(int)])
+    above_p = 1 - np.searchsorted(ranked, cuts) / len(ranked)
+    net.prior = estimate_prior(above_p, _share_above(vectors, net, ranking, cuts), len(other), n)
+
+    net.weights = fit_pu(moments(basis), unlabelled, net.prior)
+    grid = np.linspace(-4, 4, 1601)
+    above = _share_above(vectors, net, net.weights, grid)
+    by_prior = grid[np.flatnonzero(above >= net.prior).max(initial=0)]
+    net.cut = float(min(by_prior, np.quantile(basis @ net.weights, 0.005)))
+    discard(vectors)
+    return net
 
 
 def score(docs: DataFrame, net: Net | None, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Scores every whole text; a null text counts as empty. Without a model every score is 0.5.
 
     One row for each input row, repeated rows and null ids included; no shuffle. keep names columns of docs
-    to carry along.
+    to carry along; held_out, score and predicted come behind them.
     """
 
     def make():
         def run(texts: list[str]):
             if net is None:
                 return [[0.5] * len(texts)], None
-            return [net.score(np.array([describe(text) for text in texts]).reshape(-1, len(FEATURES))).tolist()], None
+            return [net.score(matrix([vector(text) for text in texts])).tolist()], None
 
         return run
 
-    names = {c: f"kept_{c}" for c in keep}
-    scored = map_texts(docs.withColumn("id_of_text", F.col(id_col)), names | {"id_of_text": "id_of_text"}, text_col, "score double", make)
+    first = list(keep) if id_col in keep else [id_col, *keep]
+    names = {c: f"kept_{k}" for k, c in enumerate(first)}
+    read = docs.select(*[F.col(c).alias(new) for c, new in names.items()], F.col(text_col).alias("text"))
+    scored = map_texts(read, {new: new for new in names.values()}, "text", "score double", make)
     predicted = F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted")
-    first = [F.col(new).alias(old) for old, new in names.items()] if id_col in keep else [F.col("id_of_text").alias(id_col), *[F.col(new).alias(old) for old, new in names.items()]]
-    return scored.select(*first, held_out("id_of_text").alias("held_out"), "score", predicted)
+    return scored.select(*[F.col(new).alias(c) for c, new in names.items()], held_out(names[id_col]).alias("held_out"), "score", predicted)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
