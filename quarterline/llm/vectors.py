@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .shared import connected_components, read_table, stored
 
 COSINE = 0.93
-#: Tables, rotations of a table's code, and buckets of each table that a vector is put in.
+#: Tables, rotations of a table's code, and buckets of each table that a vector is put in, where two rotations suffice.
 TABLES, ROTATIONS, PROBES = 10, 2, 4
+#: A rotation more is taken while a bucket would hold more than this many vectors on average.
+HELD = 64
 #: Vectors of a bucket that are compared at once; larger buckets are compared block against block.
 BLOCK = 1024
 
@@ -60,9 +62,38 @@ def buckets(x: np.ndarray, tables: int = TABLES, rotations: int = ROTATIONS, pro
     return out
 
 
+def plan(n: int, width: int, cosine: float = COSINE, recall: float = 0.999) -> tuple[int, int, int]:
+    """(tables, rotations, probes) for n vectors of a width: buckets get finer as the vectors get more, so that their size stays.
+
+    For more rotations than ROTATIONS the tables and probes are those with the fewest buckets a vector at which pairs
+    at the threshold, drawn at random, meet with the given recall.
+    """
+    codes = 2 << max(1, (width - 1).bit_length())
+    rotations = ROTATIONS
+    while n * PROBES > HELD * codes**rotations and codes ** (rotations + 1) < 1 << 62:
+        rotations += 1
+    if rotations == ROTATIONS and cosine >= COSINE:
+        return TABLES, ROTATIONS, PROBES
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(2, 1500, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = cosine * a + (1 - cosine**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    found = []
+    for probes in (4, 8, 16, 32):
+        x, y = (buckets(v, 2, rotations, probes) for v in (a, b))
+        met = (x[:, :, :, None] == y[:, :, None, :]).any(axis=(2, 3)).mean()
+        tables = int(np.ceil(np.log(1 - recall) / np.log(1 - min(max(met, 1e-3), 0.999))))
+        found.append((tables * probes, tables, probes))
+    _, tables, probes = min(found)
+    return tables, rotations, probes
+
+
 def _usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
     """(vec_id, label, v) of the rows that can link."""
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    # Floats stay as short as they are; they are compared as doubles.
+    kind = vectors.schema[vector_col].dataType.elementType.typeName()
+    v = F.col(vector_col) if kind in ("float", "double") else F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     return rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)))
@@ -83,7 +114,7 @@ def _once(codes_a: np.ndarray, codes_b: np.ndarray, table: np.ndarray, bucket: n
         tables = same.any(axis=(2, 3))
         earlier = (tables & (np.arange(tables.shape[1]) < table[part, None])).any(axis=1)
         pick = np.arange(len(table[part])), table[part]
-        here = np.where(same[pick].any(axis=2), codes_a[part][pick], np.iinfo(np.int64).max).min(axis=1)
+        here = np.where(same[pick].any(axis=2), codes_a[part][pick], np.iinfo(codes_a.dtype).max).min(axis=1)
         first[part] = ~earlier & (here == bucket[part])
     return first
 
@@ -98,7 +129,10 @@ def links(classes: DataFrame, cosine: float) -> DataFrame:
     than BLOCK vectors are dealt to pairs of blocks, so that none is a single task.
     """
     spark = classes.sparkSession
-    width = TABLES * PROBES
+    n_classes, longest = classes.agg(F.count("*"), F.max(F.size("v"))).first()
+    tables, rotations, probes = plan(n_classes, longest or 1, cosine)
+    width = tables * probes
+    kind, arrow_kind, numpy_kind = ("int", "int32", np.int32) if (2 << max(1, ((longest or 1) - 1).bit_length())) ** rotations < 1 << 31 else ("long", "int64", np.int64)
 
     def place(batches):
         import pyarrow as pa
@@ -110,16 +144,16 @@ def links(classes: DataFrame, cosine: float) -> DataFrame:
             sizes = np.array([len(x) for x in lists])
             for size in np.unique(sizes):
                 some = np.flatnonzero(sizes == size)
-                codes = buckets(np.array([lists[k] for k in some], dtype=float)).reshape(len(some), -1)
+                codes = buckets(np.array([lists[k] for k in some], dtype=float), tables, rotations, probes).reshape(len(some), -1).astype(numpy_kind)
                 take = pa.array(some)
                 offsets = pa.array(np.arange(len(some) + 1) * width, type=pa.int32())
-                listed = pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))
+                listed = pa.ListArray.from_arrays(offsets, pa.array(codes.ravel(), getattr(pa, arrow_kind)()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), listed], names=["vec_id", "codes"])
 
-    coded = classes.join(classes.select("vec_id", "v").mapInArrow(place, "vec_id long, codes array<long>"), "vec_id")
+    coded = classes.join(classes.select("vec_id", "v").mapInArrow(place, f"vec_id long, codes array<{kind}>"), "vec_id")
     coded = stored(coded.withColumn("size", F.size("v")), "coded")
     each = coded.select("vec_id", "n", "label", "size", F.posexplode("codes").alias("probe", "bucket"))
-    each = each.select("vec_id", "n", "label", "size", F.floor(F.col("probe") / PROBES).cast("int").alias("table"), "bucket").distinct()
+    each = each.select("vec_id", "n", "label", "size", F.floor(F.col("probe") / probes).cast("int").alias("table"), "bucket").distinct()
     key = ["label", "size", "table", "bucket"]
     full = each.groupBy(*key).agg(F.count("*").alias("held")).where("held > 1")
     full = full.withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")).drop("held")
@@ -159,7 +193,7 @@ def links(classes: DataFrame, cosine: float) -> DataFrame:
             sizes = table.column("size").to_numpy()
             flat, begin = v.flatten().to_numpy(), v.offsets.to_numpy() - v.offsets[0].as_py()
             shared = table.column("shared").to_numpy()
-            codes = table.column("codes").combine_chunks().flatten().to_numpy().reshape(len(ids), TABLES, PROBES)
+            codes = table.column("codes").combine_chunks().flatten().to_numpy().reshape(len(ids), tables, probes)
             xs, ys = [], []
             for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if q - p < 2:
