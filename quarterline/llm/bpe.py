@@ -11,6 +11,8 @@ from .shared import map_texts, read_table
 
 #: Unicode White_Space as a character class; the tokenizer's \s.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: The pattern whose matches can be found between white space; with others the whole text is matched.
+SPLITTING = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries that a worker remembers; beyond it the memo starts anew.
 MEMO = 300_000
 
@@ -119,6 +121,25 @@ class ByteBPE:
         return out
 
 
+def _own_white(pattern: str) -> str:
+    r"""The pattern with \s and \S by the Unicode White_Space property, inside and outside of brackets."""
+    out, inside, k = [], False, 0
+    while k < len(pattern):
+        two = pattern[k : k + 2]
+        if two == r"\s":
+            out.append(WHITE if inside else f"[{WHITE}]")
+        elif two == r"\S" and not inside:
+            out.append(f"[^{WHITE}]")
+        elif two[0] == "\\":
+            out.append(two)
+        else:
+            inside = two[0] == "[" or inside and two[0] != "]"
+            out.append(two[0])
+            k -= 1
+        k += 2
+    return "".join(out)
+
+
 def codec(ranks_path: str, pattern: str):
     """encode(text) -> ids as little-endian bytes, and decode(ids) -> bytes, with bounded memos."""
     import re
@@ -127,9 +148,9 @@ def codec(ranks_path: str, pattern: str):
     import regex
 
     bpe = ByteBPE(read_ranks(ranks_path))
-    # White space after other characters always begins a piece, so such units can be encoded apart.
-    units_of = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
-    pieces_of = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{WHITE}\p{{L}}\p{{N}}]").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
+    pieces_of = regex.compile(_own_white(pattern)).findall
+    # By this pattern white space after other characters always begins a piece, so such units can be encoded apart.
+    units_of = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall if pattern == SPLITTING else None
     units: dict[str, bytes] = {}
     pieces: dict[str, bytes] = {}
 
@@ -138,7 +159,9 @@ def codec(ranks_path: str, pattern: str):
         if known is None:
             if len(pieces) >= MEMO:
                 pieces.clear()
-            known = pieces[piece] = array("I", bpe.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
+            known = array("I", bpe.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
+            if len(piece) < 100:
+                pieces[piece] = known
         return known
 
     class Units(dict):
@@ -155,7 +178,7 @@ def codec(ranks_path: str, pattern: str):
     token = bpe.bytes_of.__getitem__
 
     def encode(text: str) -> bytes:
-        return b"".join(map(get, units_of(text)))
+        return b"".join(map(get, units_of(text)) if units_of else map(piece_ids, pieces_of(text)))
 
     def decode(ids: bytes) -> bytes:
         return b"".join(map(token, memoryview(ids).cast("I")))
