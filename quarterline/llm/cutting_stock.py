@@ -5,6 +5,7 @@ The size of the problem is the number of length classes, whatever the number of
 
 from __future__ import annotations
 
+import warnings
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -63,11 +64,12 @@ def crash_basis(demand: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[l
     return columns, np.array(amounts)
 
 
-def solve_relaxation(demand: np.ndarray, capacity: int, gap: float = 1e-3, pivots: int = 5_000) -> list[tuple[np.ndarray, float]]:
+def solve_relaxation(demand: np.ndarray, capacity: int, gap: float = 1e-3, stalled: int = 2_000) -> list[tuple[np.ndarray, float]]:
     """Column generation: the least fractional number of bins for demand[k] items of size k + 1.
 
     A revised simplex keeps the inverse of the basis; the knapsack program prices the next column.
-    It ends when the dual bound or the total size proves that no solution is smaller by more than gap.
+    It ends when the dual bound or the total size proves that no solution is smaller by more than gap. Should the number of
+    bins not fall over so many pivots in a row (stalled), it ends with a warning of what is not proven.
     """
     classes = np.flatnonzero(demand)
     sizes = classes + 1
@@ -78,7 +80,9 @@ def solve_relaxation(demand: np.ndarray, capacity: int, gap: float = 1e-3, pivot
     columns, amounts = crash_basis(demand[classes], sizes, capacity)
     inverse = np.linalg.inv(np.array(columns, dtype=float).T)
     values = np.zeros(int(sizes[-1]))
-    for turn in range(pivots):
+    since, least = 0, np.inf
+    while True:
+        since, least = (0, amounts.sum()) if amounts.sum() < least - 1e-9 else (since + 1, least)
         if amounts.sum() <= total * (1 + gap):
             break
         duals = np.maximum(inverse.sum(axis=0), 0)
@@ -87,6 +91,9 @@ def solve_relaxation(demand: np.ndarray, capacity: int, gap: float = 1e-3, pivot
         worth, pattern = price_pattern(values, capacity)
         if worth <= 1 + gap:
             break
+        if since >= stalled:
+            warnings.warn(f"{least:.1f} bins stand against a bound of {max(total, least / worth):.1f}", stacklevel=2)
+            break
         column = pattern[classes]
         step = inverse @ column
         up = step > 1e-9

@@ -2,98 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import cutting_stock
-from .bpe import WHITE
 from .shared import map_texts, read_table, stored
+from .word_pieces import word_encoder
 
 #: Lengths are rounded up to multiples of this for the linear program: 1024 classes for 2048 tokens.
 GRAIN = 2
-#: Parts of a length class whose ranks are counted apart, so that no class is one task.
-SALTS = 256
-#: Chunks of text, and as many of their pieces, in one generation of a worker's memo.
-MEMO = 300_000
-
-
-def _plain_characters() -> tuple[str, str, str]:
-    """Regex classes of Latin characters that normalisation leaves alone and that lower case maps one to one.
-
-    All of them as written; letters and numbers among them in lower case.
-    """
-    import unicodedata
-
-    plain = [c for c in map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)]) if len(c.lower()) == 1 and ord(c.lower()) < 0x250 and unicodedata.normalize("NFC", c) == c]
-    low = sorted({c.lower() for c in plain})
-    return tuple("".join(re.escape(c) for c in some) for some in (plain, [c for c in low if unicodedata.category(c)[0] == "L"], [c for c in low if unicodedata.category(c)[0] == "N"]))
-
-
-class Memo(dict):
-    """Remembers up to twice the limit: what was not asked for since the last change of generation is forgotten."""
-
-    def __init__(self, limit: int = MEMO):
-        super().__init__()
-        self.limit, self.old = limit, {}
-
-    def missing(self, keys: set) -> list:
-        if len(self) >= self.limit:
-            self.old = self.copy()
-            self.clear()
-        lost = []
-        for key in keys.difference(self):
-            value = self.old.get(key)
-            if value is None:
-                lost.append(key)
-            else:
-                self[key] = value
-        return lost
-
-
-@lru_cache(maxsize=1)
-def word_encoder(tokenizer_path: str):
-    """encode(list of texts) -> little-endian id bytes of each; a worker process keeps it, with its memos, for later tasks.
-
-    The tokenizer drops white space and no token spans it, so chunks between white space are encoded once
-    and remembered. Chunks of plain Latin characters are cut into the tokenizer's own pieces, remembered too.
-    """
-    from array import array
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True
-    plain, letters, numbers = _plain_characters()
-    chunks_of = re.compile(f"[^{WHITE}]+").findall
-    is_plain = re.compile(f"[{plain}]+").fullmatch
-    pieces_of = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{letters}{numbers}]+").findall
-    chunks, pieces = Memo(500_000), Memo()
-
-    def learn(memo: Memo, new: list[str]) -> None:
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for text, got in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                memo[text] = array("I", got.ids).tobytes()
-
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [chunks_of(text) for text in texts]
-        new = chunks.missing(set().union(*split))
-        cut = {chunk: pieces_of(chunk.lower()) for chunk in new if is_plain(chunk)}
-        learn(pieces, pieces.missing(set().union(*cut.values())))
-        piece = pieces.__getitem__
-        for chunk, parts in cut.items():
-            chunks[chunk] = b"".join(map(piece, parts))
-        learn(chunks, [chunk for chunk in new if chunk not in cut])
-        return [b"".join(map(chunks.__getitem__, some)) for some in split]
-
-    return encode
+#: Pieces of a length class are ranked in parts of at most about RANKED, and in SALTS at least, so that no class is one task.
+SALTS, RANKED = 256, 100_000
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -146,16 +68,18 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     patterns' places by their rank. Offsets then follow from the true lengths, so they are gapless.
 
     A null or empty text is the end token alone. Repeated rows are packed as often as they occur; a null id
-    stays null. Ranks go by id, start and hashes, so ties fall the same way in every run (equal rows are
+    stays null. A very long text is one row in Python and its pieces are small; no step holds more than one batch of texts. Ranks go by id, start and hashes, so ties fall the same way in every run (equal rows are
     interchangeable). An empty table gives no rows. Other columns of docs are not read.
     """
     pieces = stored(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
     cls = F.ceil(F.col("length") / GRAIN).cast("long") - 1
-    pieces = pieces.withColumn("cls", cls).withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "again"), F.lit(SALTS)))
+    pieces = pieces.withColumn("cls", cls)
     # One count for each class: at most capacity / GRAIN rows.
     demand = np.zeros(-(-capacity // GRAIN), dtype=np.int64)
     for row in pieces.groupBy("cls").count().collect():
         demand[row["cls"]] = row["count"]
+    salts = max(SALTS, -(-int(demand.max()) // RANKED))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "again"), F.lit(salts)))
     table = plan_intervals(demand, capacity // GRAIN)
 
     parts = pieces.groupBy("cls", "salt").count()
