@@ -7,13 +7,15 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import connected_components, map_texts, read_table, recall_depth, stored
+from .shared import connected_components, discard, join_by_key, map_texts, read_table, recall_depth, stored
 
 NGRAM = 5
 SIMILARITY = 0.8
 TREES, DEEPEST, RECALL = 32, 8, 0.9999
-#: Most documents, and bytes of text on average, of one block; larger candidate clusters are verified block against block.
-BLOCK, BLOCK_BYTES = 1024, 1 << 22
+#: Candidate clusters are verified in up to BLOCKS blocks of BLOCK documents; beyond, blocks grow up to MOST documents or BLOCK_BYTES of text.
+BLOCK, BLOCKS, MOST, BLOCK_BYTES = 256, 64, 4096, 1 << 23
+#: Parts of the hash of id and text; a document outside all parts that hold candidates isn't shuffled with its text.
+PARTS = 1 << 20
 #: Parts that the documents of a class of equal words are dealt to, so that no class is one task.
 SALTS = 256
 MEMO = 300_000
@@ -91,8 +93,8 @@ def _text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def neighbours(tries: DataFrame, shallowest: int) -> DataFrame:
-    """Pairs (a, b, depth) of neighbours in the sorted tries; depth is the longest prefix of their labels that they share.
+def neighbours(tries: DataFrame, shallowest: int) -> tuple[DataFrame, DataFrame]:
+    """A stored table, and made of it the pairs (a, b, depth) of neighbours in the sorted tries; depth is the longest prefix of their labels that they share.
 
     Labels are sorted over the whole cluster, tree by tree; in that order the classes below a node of the
     trie stand together, so the pairs of at least its depth tie them all. A node whose classes reach over several
@@ -136,7 +138,7 @@ def neighbours(tries: DataFrame, shallowest: int) -> DataFrame:
     ends = ends.groupBy("tree", "depth", F.expr("substring(label, 1, 2 * depth)")).agg(F.min("a").alias("a"), F.collect_set("a").alias("all"))
     pairs = found.where("b is not null").select("a", "b", "depth").union(ends.select("a", F.explode("all").alias("b"), "depth"))
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "depth")
-    return pairs.groupBy("a", "b").agg(F.max("depth").alias("depth"))
+    return found, pairs.groupBy("a", "b").agg(F.max("depth").alias("depth"))
 
 
 def meets(similarity: float | np.ndarray, depth: int) -> float | np.ndarray:
@@ -147,23 +149,24 @@ def meets(similarity: float | np.ndarray, depth: int) -> float | np.ndarray:
 def matched_depth(pairs: DataFrame, tries: DataFrame, similarity: float, shallowest: int) -> int:
     """The longest prefix with which the pairs in these data are found with a probability of RECALL.
 
-    All MinHash values of each pair of neighbours are compared, which estimates its similarity. From the deepest
+    A quarter of the MinHash values of each pair of neighbours are compared, which estimates its similarity. From the deepest
     level on the prefix is shortened until the pairs of at least the given similarity meet, on average, with the target
     recall; the shallowest prefix reaches it for every such pair. A count for each number of
     equal values comes to the driver.
     """
-    sides = [tries.select(F.col("class").alias(c), F.col("trie").alias(f"trie_{c}")) for c in ("a", "b")]
+    width = 2 * TREES * DEEPEST // 4
+    sides = [tries.select(F.col("class").alias(c), F.substring("trie", 1, width).alias(f"trie_{c}")) for c in ("a", "b")]
     both = pairs.join(sides[0], "a").join(sides[1], "b").select("trie_a", "trie_b")
 
     def agree(batches):
         import pyarrow as pa
 
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=">u2").reshape(-1, TREES * DEEPEST) for k in range(2))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=">u2").reshape(-1, width // 2) for k in range(2))
             yield pa.RecordBatch.from_arrays([pa.array((x == y).sum(axis=1).astype(np.int32))], names=["equal"])
 
     counts = both.mapInArrow(agree, "equal int").groupBy("equal").count().collect()
-    alike = np.array([(r["equal"] / (TREES * DEEPEST), r["count"]) for r in counts]).reshape(-1, 2)
+    alike = np.array([(2 * r["equal"] / width, r["count"]) for r in counts]).reshape(-1, 2)
     alike = alike[alike[:, 0] >= similarity]
     depth = DEEPEST
     while depth > shallowest and len(alike) and np.average(meets(alike[:, 0], depth), weights=alike[:, 1]) < RECALL:
@@ -250,6 +253,8 @@ def verify(members: DataFrame, similarity: float, n: int) -> DataFrame:
         b = [None] * len(some) + [int(ids[q]) for _, q in tree]
         return pd.DataFrame({"a": a, "b": pd.array(b, dtype="Int64"), "n": np.r_[linked[some], np.zeros(len(tree))].astype(np.int64)})
 
+    # Else all pairs of a cluster's blocks would stay where the cluster is.
+    rows = rows.repartition("cluster", "low", "high")
     return rows.groupBy("cluster", "low", "high").applyInPandas(compare, "a long, b long, n long")
 
 
@@ -274,29 +279,40 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, n: int = NGRAM
     same = ["same_a", "same_b"]
     # A class of many documents is reduced, and later joined, in SALTS parts.
     each = stored(named.select("doc_id", *same, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")).distinct(), "each")
-    parts = stored(each.groupBy(*same, "salt").agg(F.min("doc_id").alias("least"), F.count("*").alias("part")), "parts")
-    classes = parts.groupBy(*same).agg(F.min("least").alias("representative"), F.sum("part").alias("n"))
+    parts = stored(each.groupBy(*same, "salt").agg(F.count("*").alias("part")), "parts")
+    heads = named.groupBy(*same).agg(F.min(F.struct("doc_id", "text_hash")).alias("head"), F.first("trie").alias("trie"))
+    heads = heads.join(parts.groupBy(*same).agg(F.sum("part").alias("n")), same)
     # The numbers hold from here on, as they are written.
-    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    numbers = parts.select(*same, "salt").join(classes, same)
+    classes = stored(heads.select(F.monotonically_increasing_id().alias("class"), F.col("head.doc_id").alias("representative"), "head.text_hash", "n", *same, "trie"), "classes")
+    # Dealt by all keys of the next join, or that would run where the classes are.
+    numbers = parts.select(*same, "salt").join(classes.select("class", *same), same).repartition(*same, "salt")
     member = stored(each.join(numbers, [*same, "salt"]).select("doc_id", "class"), "members")
+    without = signed.where("doc_id is null or trie is null").select("doc_id").distinct().join(member.select("doc_id"), "doc_id", "left_anti")
+    without = stored(without, "without")
+    discard(signed, each, parts)
 
-    heads = classes.select("class", "n", F.col("representative").alias("doc_id"), *same)
-    first = named.join(heads, ["doc_id", *same]).groupBy("class", "doc_id", "n").agg(F.min(F.struct("text_hash", "trie")).alias("head"))
-    first = stored(first.select("class", "doc_id", "n", "head.text_hash", "head.trie"), "heads")
-    tries = first.select("class", "trie")
+    tries = classes.select("class", "trie")
     shallowest = min(depth or recall_depth(similarity, TREES, DEEPEST, RECALL), DEEPEST)
-    pairs = stored(neighbours(tries, shallowest), "pairs")
+    found, pairs = neighbours(tries, shallowest)
+    pairs = stored(pairs, "pairs")
+    discard(found)
     depth = depth or matched_depth(pairs, tries, similarity, shallowest)
     clusters = connected_components(pairs.where(F.col("depth") >= depth)).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
 
-    wanted = stored(clusters.join(first.select("class", "doc_id", "n", "text_hash"), "class"), "wanted")
+    wanted = clusters.join(classes.select("class", F.col("representative").alias("doc_id"), "n", "text_hash"), "class")
+    part = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(PARTS)).alias("part")
+    wanted = stored(wanted.select("class", "cluster", "n", "doc_id", "text_hash", part), "wanted")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(text_col).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    placed = texts.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["class"])
+    # At most PARTS rows, whatever the input.
+    texts = texts.withColumn("part", part).join(F.broadcast(wanted.select("part").distinct()), "part", "left_semi").drop("part")
+    placed = texts.join(wanted.drop("part"), ["doc_id", "text_hash"]).dropDuplicates(["class"])
     placed = stored(placed.select("class", "cluster", "n", "text"), "placed")
-    sizes = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = placed.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    checked = stored(verify(placed, similarity, n), "links")
+    size = F.least(F.greatest(F.lit(BLOCK), F.count("*") / BLOCKS), F.lit(max(BLOCK, MOST)))
+    sizes = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / size), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed_in = join_by_key(placed, stored(sizes.withColumn("n_in", F.col("blocks")), "sizes"), ["cluster"], "n_in").drop("n_in")
+    placed_in = placed_in.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    checked = stored(verify(placed_in, similarity, n), "links")
+    discard(pairs, wanted, placed)
 
     counts = checked.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("others"))
     # An id with several texts ties its classes together.
@@ -310,10 +326,9 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY, n: int = NGRAM
     # Members go to their class in as many parts as before.
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
     present = member.select("class", salt).distinct()
-    known = present.join(known, "class")
+    known = present.join(known, "class").repartition("class", "salt")
     out = member.select("doc_id", "class", salt).join(known, ["class", "salt"])
     out = out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"), F.min("representative").alias("representative"))
-    without = signed.where("doc_id is null or trie is null").select("doc_id").distinct().join(member.select("doc_id"), "doc_id", "left_anti")
     without = without.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("representative"))
     return out.unionByName(without).withColumnRenamed("doc_id", id_col)
 
