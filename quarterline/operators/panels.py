@@ -102,6 +102,15 @@ def regularization_stats(panel: DataFrame, value: str, k: float, lead: int = 4)
     return each.select("qoff", F.avg("mu0").over(roll).alias("mu"), (F.avg("s0").over(roll) + 1e-8).alias("sigma"), F.lit(k).alias("k"))
 
 
+def splits(rows: DataFrame, at: str, bounds: dict[str, tuple[int | None, int | None]]) -> DataFrame:
+    """Adds split: the first whose bounds, both included, hold the value; rows of none are left out."""
+    split = F.lit(None).cast("string")
+    for name, (first, last) in reversed(bounds.items()):
+        inside = (F.col(at) >= first if first is not None else F.col(at).isNotNull()) & (F.col(at) <= last if last is not None else F.lit(True))
+        split = F.when(inside, F.lit(name)).otherwise(split)
+    return rows.withColumn("split", split).where("split is not null")
+
+
 def modal(rows: DataFrame, key: str, value: str) -> DataFrame:
     """The most frequent value for each key, the smallest on a tie."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"))

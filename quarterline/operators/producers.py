@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def seasonal_lag(horizon):
@@ -73,6 +73,59 @@ def fit_trees(train: DataFrame, features: list[str], label: str, kind: str = "gb
     return (GBTRegressor if kind == "gbt" else RandomForestRegressor)(seed=params.pop("seed", 1), **params).fit(shaped)
 
 
+def predict(model, rows: DataFrame, features: list[str], name: str) -> DataFrame:
+    """rows with the model's prediction; rows that lack a feature are left out."""
+    from pyspark.ml.feature import VectorAssembler
+
+    shaped = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(rows.dropna(subset=features))
+    return model.transform(shaped).withColumnRenamed("prediction", name).drop("features")
+
+
+def shared_strength(rows: DataFrame, group: str, features: list[str], label: str, strengths: list[float]) -> tuple[float, dict[float, float]]:
+    """The ridge strength with the least mean validation error over all groups, and each one's error.
+
+    rows has split train and val. Fits are as many as groups times strengths; the groups are horizons, so few.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    shaped = VectorAssembler(inputCols=features, outputCol="features").transform(rows.dropna(subset=[*features, label]))
+    shaped = shaped.select("split", group, "features", F.col(label).alias("label")).persist()
+    groups = sorted(r[0] for r in shaped.select(group).distinct().collect())
+    errors = {}
+    for strength in strengths:
+        each = []
+        for g in groups:
+            part = shaped.where(F.col(group) == g)
+            model = LinearRegression(regParam=strength).fit(part.where("split = 'train'"))
+            each.append(model.transform(part.where("split = 'val'")).agg(F.avg((F.col("prediction") - F.col("label")) ** 2)).first()[0])
+        known = [e for e in each if e is not None]
+        errors[strength] = sum(known) / len(known) if known else float("inf")
+    shaped.unpersist()
+    return min(errors, key=errors.get), errors
+
+
+def save(model, path: str, made_of: dict) -> None:
+    """Stores a fitted model and, beside it, what it was made of."""
+    import json
+
+    model.write().overwrite().save(f"{path}/model")
+    spark = model.write().sparkSession if hasattr(model.write(), "sparkSession") else SparkSession.getActiveSession()
+    spark.createDataFrame([(json.dumps(made_of | {"class": f"{type(model).__module__}.{type(model).__name__}"}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/made_of")
+
+
+def load(spark: SparkSession, path: str):
+    """A stored model and what it was made of."""
+    import importlib
+    import json
+
+    made_of = json.loads(spark.read.text(f"{path}/made_of").first()[0])
+    module, name = made_of["class"].rsplit(".", 1)
+    if not module.startswith("pyspark.ml."):
+        raise ValueError(f"{made_of['class']} is no model of pyspark.ml")
+    return getattr(importlib.import_module(module), name).load(f"{path}/model"), made_of
+
+
 def chained(train: DataFrame, test: DataFrame, features: list[str], chain: list[str], **params) -> DataFrame:
     """Fits each item with those before it as features (their true values), then predicts with their predictions; nulls count as 0."""
     from pyspark.ml.feature import VectorAssembler

@@ -14,8 +14,10 @@ from ..functions.maths import student_t_tail
 def differentials(scored: DataFrame, reference: str) -> DataFrame:
     """Mean squared and absolute loss differences to the reference by model, horizon (0: pooled) and quarter."""
     rows = scored.where("common").select("id", "firm_id", "qoff", "target", "horizon", "r")
-    ref = rows.where(F.col("id") == reference).select("firm_id", "qoff", "target", "horizon", F.col("r").alias("r_ref"))
-    both = rows.where(F.col("id") != reference).join(ref, ["firm_id", "qoff", "target", "horizon"])
+    # On the partitioning that the common sample left, instead of a join of the rows with themselves.
+    cell = Window.partitionBy("firm_id", "qoff", "target", "horizon")
+    rows = rows.withColumn("r_ref", F.max(F.when(F.col("id") == reference, F.col("r"))).over(cell))
+    both = rows.where((F.col("id") != reference) & F.col("r_ref").isNotNull())
     both = both.select("id", "horizon", "qoff", (F.col("r_ref") ** 2 - F.col("r") ** 2).alias("d_sq"), (F.abs("r_ref") - F.abs("r")).alias("d_abs"))
     sets = [[F.col("id"), F.col("horizon"), F.col("qoff")], [F.col("id"), F.col("qoff")]]
     out = both.groupingSets(sets, "id", "horizon", "qoff").agg(F.avg("d_sq").alias("d_sq"), F.avg("d_abs").alias("d_abs"), F.count("*").alias("n"))

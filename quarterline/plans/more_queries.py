@@ -12,7 +12,7 @@ from ..sources import forecasts as files, maps, views
 from ..sources.shared import fresh_folder as folder
 from ..sources.views import FORECASTS, PANEL, SPARSE, TRUTH, with_views
 from .registry import query
-from .scoring_queries import ALL, CELLS, DENSE, DIFFS, KNOTS, NW, PIT, mixture, quantile_cells, rounded, sample, tests
+from .scoring_queries import ALL, CELLS, DENSE, DIFFS, KNOTS, NW, P_VALUES, PIT, mixture, quantile_cells, rounded, sample, tests
 
 
 @query("s1_raw_panel_reader", "SELECT count(*) AS n, count(DISTINCT n_regionkey) AS regions FROM nation")
@@ -92,12 +92,12 @@ def p21_quantile_columns(spark, sf_dir):
 
 @query("p22_origin_preparation", with_views("""SELECT o.firm_id, o.qoff, count(CASE WHEN p.qoff <= o.qoff THEN 1 END) AS n_history, count(CASE WHEN p.qoff > o.qoff THEN 1 END) AS n_ahead,
  string_agg(CASE WHEN p.qoff <= o.qoff THEN CAST(p.n AS VARCHAR) END, ',' ORDER BY p.qoff) AS history
- FROM sparse o JOIN sparse p ON p.firm_id = o.firm_id AND p.qoff BETWEEN o.qoff - 7 AND o.qoff + 4 WHERE o.qoff = 115 AND o.total > 0 GROUP BY 1, 2""", SPARSE))
+ FROM sparse o JOIN sparse p ON p.firm_id = o.firm_id AND p.qoff BETWEEN o.qoff - 7 AND o.qoff + 4 WHERE o.total > 0 GROUP BY 1, 2""", SPARSE))
 def p22_origin_preparation(spark, sf_dir):
     from ..operators.origins import windows
 
     p = views.sparse_panel(spark, sf_dir)
-    rows = windows(p.where("qoff = 115 and total > 0").select("firm_id", "qoff"), p.select("firm_id", "qoff", "n"), 8, 4)
+    rows = windows(p.where("total > 0").select("firm_id", "qoff"), p.select("firm_id", "qoff", "n"), 8, 4)
     past = F.col("rel") <= 0
     cells = F.array_sort(F.collect_list(F.when(past, F.struct("rel", "n"))))
     return rows.groupBy("firm_id", "qoff").agg(F.count(F.when(past, 1)).alias("n_history"), F.count(F.when(~past, 1)).alias("n_ahead"), F.array_join(F.transform(cells, lambda c: c["n"].cast("string")), ",").alias("history"))
@@ -134,7 +134,7 @@ def f21_newey_west_t(spark, sf_dir):
     return rounded(tests(spark, sf_dir).select("id", "horizon", "t"), "t", digits=4)
 
 
-@query("f23_markers")
+@query("f23_markers", with_views("SELECT marker, count(*) AS n FROM marked GROUP BY 1", *ALL, DIFFS, NW, P_VALUES))
 def f23_markers(spark, sf_dir):
     out = significance.with_p_values(significance.corrected(tests(spark, sf_dir), F.greatest("horizon", F.lit(1))))
     return out.groupBy("marker").agg(F.count("*").alias("n"))
@@ -189,9 +189,9 @@ def m23_quantile_calibration(spark, sf_dir):
     return rounded(quantile_cells(spark, sf_dir).groupBy("horizon").agg(F.avg(covered(F.round("pit", 9), 0.5).cast("double")).alias("cover_50")), "cover_50")
 
 
-@query("m24_graph_rows", with_views("SELECT firm_id, count(*) + 1 AS n_nodes, count(CASE WHEN qoff <= 115 THEN 1 END) AS n_visible FROM panel WHERE qoff BETWEEN 110 AND 117 GROUP BY 1", PANEL))
+@query("m24_graph_rows", with_views("SELECT firm_id, count(*) + 1 AS n_nodes, count(CASE WHEN qoff <= 115 THEN 1 END) AS n_visible FROM panel GROUP BY 1", PANEL))
 def m24_graph_rows(spark, sf_dir):
-    rows = views.panel(spark, sf_dir).where("qoff between 110 and 117").select("firm_id", "qoff", F.col("qoff").alias("at"))
+    rows = views.panel(spark, sf_dir).select("firm_id", "qoff", F.col("qoff").alias("at"))
     graph = producers.graph_rows(rows, "firm_id", "at", 115)
     return graph.groupBy("firm_id").agg(F.count("*").alias("n_nodes"), F.count(F.when(F.col("visible") & ~F.col("is_industry"), 1)).alias("n_visible"))
 

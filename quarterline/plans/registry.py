@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import more_queries, panel_queries, response_queries, scoring_queries  # noqa: E402, F401
+from . import model_queries, more_queries, panel_queries, response_queries, scoring_queries  # noqa: E402, F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -66,10 +65,10 @@ def m17_finish_origins(spark, sf_dir):
 
 @query("p18_render_history", with_views("""SELECT firm_id, string_agg(line, chr(10) ORDER BY account) AS text FROM (
  SELECT firm_id, account, account || ',' || string_agg(CASE WHEN v IS NULL THEN '' ELSE CAST(v AS VARCHAR) END, ',' ORDER BY qoff) AS line
- FROM (SELECT firm_id, qoff, 'n' AS account, CAST(n AS DECIMAL(18,2)) AS v FROM sparse WHERE firm_id % 10 = 1 UNION ALL SELECT firm_id, qoff, 'odd', CASE WHEN n % 2 = 1 THEN CAST(n AS DECIMAL(18,2)) END FROM sparse WHERE firm_id % 10 = 1)
+ FROM (SELECT firm_id, qoff, 'n' AS account, CAST(n AS DECIMAL(18,2)) AS v FROM sparse UNION ALL SELECT firm_id, qoff, 'odd', CASE WHEN n % 2 = 1 THEN CAST(n AS DECIMAL(18,2)) END FROM sparse)
  GROUP BY 1, 2 HAVING count(v) > 0) GROUP BY 1""", SPARSE))
 def p18_render_history(spark, sf_dir):
-    p = views.sparse_panel(spark, sf_dir).where("firm_id % 10 = 1").withColumns({"n": F.col("n").cast("double"), "odd": F.when(F.col("n") % 2 == 1, F.col("n").cast("double"))})
+    p = views.sparse_panel(spark, sf_dir).withColumns({"n": F.col("n").cast("double"), "odd": F.when(F.col("n") % 2 == 1, F.col("n").cast("double"))})
     return responses.render(p.unpivot(["firm_id", "qoff"], ["n", "odd"], "account", "value"), ["firm_id"], "account", "qoff", "value")
 
 
@@ -226,14 +225,14 @@ def _stream_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
 @query("t1_streaming_stats", "SELECT event_type, count(value) AS n, round(sum(value), 4) AS s, round(sum(value * value), 2) AS ss FROM events GROUP BY 1")
 def t1_streaming_stats(spark, sf_dir):
     stream, checkpoint = _stream_files(spark, sf_dir)
-    out = streams.drain(streams.sufficient_stats(stream, ["event_type"], "value"), f"t1_{uuid.uuid4().hex}", checkpoint)
+    out = streams.drain(streams.sufficient_stats(stream, ["event_type"], "value"), checkpoint)
     return out.select("event_type", "n", F.round("s", 4).alias("s"), F.round("ss", 2).alias("ss"))
 
 
 @query("t2_streaming_dedupe", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def t2_streaming_dedupe(spark, sf_dir):
     stream, checkpoint = _stream_files(spark, sf_dir)
-    out = streams.drain(streams.once_each(stream.select("event_id", "event_type", "ts"), "event_id", "ts", "40 days"), f"t2_{uuid.uuid4().hex}", checkpoint, "append")
+    out = streams.drain(streams.once_each(stream.select("event_id", "event_type", "ts"), "event_id", "ts", "40 days"), checkpoint, "append")
     return out.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -248,12 +247,13 @@ def t3_streaming_archive(spark, sf_dir):
 @query("t4_gap_sessions", """SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, sid, count(*) AS n FROM (SELECT user_id, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sid FROM (
  SELECT user_id, ts, event_id, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS g FROM events)) GROUP BY 1, 2) GROUP BY 1""")
 def t4_gap_sessions(spark, sf_dir):
-    runs = streams.gap_runs(views.table(spark, sf_dir, "events"), "user_id", "ts", "6 hours", "1 day")
+    stream, checkpoint = _stream_files(spark, sf_dir)
+    runs = streams.drain(streams.gap_runs(stream, "user_id", "ts", "6 hours", "1 day"), checkpoint)
     return runs.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
 
 
 @query("t5_streaming_quarters", "SELECT CAST(date_trunc('quarter', ts) AS DATE) AS quarter, count(*) AS n FROM events GROUP BY 1")
 def t5_streaming_quarters(spark, sf_dir):
     stream, checkpoint = _stream_files(spark, sf_dir)
-    out = streams.drain(streams.by_quarter(stream, "ts"), f"t5_{uuid.uuid4().hex}", checkpoint)
+    out = streams.drain(streams.by_quarter(stream, "ts"), checkpoint)
     return out.select(F.col("quarter").cast("date").alias("quarter"), "n")

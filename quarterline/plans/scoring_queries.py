@@ -273,7 +273,7 @@ def f20_sigma_floor(spark, sf_dir):
 Z = [round(-2.0 + 0.2 * k, 1) for k in range(21)]
 KNOTS = f"""quantile_forecasts AS (
  SELECT firm_id, qoff, target, horizon, list_transform([{', '.join(f'{z!r}::DOUBLE' for z in Z)}], lambda z: prediction + sigma * (CASE WHEN firm_id % 7 = 0 AND z > 1.7::DOUBLE THEN 1 ELSE z END)) AS knots
- FROM forecasts WHERE model = 'ens' AND seed = 1 AND firm_id % 10 <> 3),
+ FROM forecasts WHERE model = 'drift'),
 taus AS (SELECT [{', '.join(f'{t!r}::DOUBLE' for t in quantiles.LEVELS)}] AS tau),
 q AS (
  SELECT f.firm_id, f.qoff, f.target, f.horizon, f.knots <> list_sort(f.knots) AS crossed, list_sort(f.knots) AS k, t.actual AS y
@@ -281,7 +281,7 @@ q AS (
 
 
 def quantile_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.forecasts(spark, sf_dir).where("model = 'ens' and seed = 1 and firm_id % 10 <> 3")
+    rows = views.forecasts(spark, sf_dir).where("model = 'drift'")
     z = F.array(*[F.lit(float(x)) for x in Z])
     knots = F.transform(z, lambda x: F.col("prediction") + F.col("sigma") * F.when((F.col("firm_id") % 7 == 0) & (x > 1.7), F.lit(1.0)).otherwise(x))
     return rows.select(*scoring.CELL, knots.alias("knots"))
@@ -397,7 +397,18 @@ def f22_small_sample_t(spark, sf_dir):
     return rounded(out.select("id", "horizon", "t", "t_corrected"), "t", "t_corrected", digits=4)
 
 
-@query("m21_diebold_mariano")
+#: Two-sided p of Student's t by the finite series for whole degrees of freedom.
+P_VALUES = """corrected AS (
+ SELECT id, horizon, n_quarters - 1 AS df, t, CASE WHEN f > 0 THEN t * sqrt(f) ELSE t END AS tc FROM (
+  SELECT id, horizon, n_quarters, mean / nullif(sqrt(lrv / n_quarters), 0) AS t, (n_quarters + 1 - 2 * greatest(horizon, 1) + greatest(horizon, 1) * (greatest(horizon, 1) - 1) / n_quarters) / n_quarters AS f FROM tests)),
+angles AS (SELECT *, atan(abs(tc) / sqrt(df::DOUBLE)) AS a FROM corrected),
+judged AS (
+ SELECT id, horizon, t, 1 - CASE WHEN df % 2 = 0 THEN sin(a) * (SELECT coalesce(sum(exp(lgamma(k + 0.5::DOUBLE) - lgamma(0.5::DOUBLE) - lgamma(k + 1.0::DOUBLE)) * pow(cos(a), 2 * k)), 0) FROM range(0, 200) r(k) WHERE k < df // 2)
+  ELSE 2 / pi() * (a + sin(a) * (SELECT coalesce(sum(exp(lgamma(k + 1.0::DOUBLE) + lgamma(1.5::DOUBLE) - lgamma(k + 1.5::DOUBLE)) * pow(cos(a), 2 * k + 1)), 0) FROM range(0, 200) r(k) WHERE k < (df - 1) // 2)) END AS p FROM angles),
+marked AS (SELECT *, repeat(CASE WHEN t < 0 THEN '*' ELSE '†' END, CASE WHEN p <= 0.01 THEN 3 WHEN p <= 0.05 THEN 2 WHEN p <= 0.1 THEN 1 ELSE 0 END) AS marker FROM judged)"""
+
+
+@query("m21_diebold_mariano", with_views("SELECT id, horizon, round(t, 6) AS t, round(p, 6) AS p, marker FROM marked", *ALL, DIFFS, NW, P_VALUES))
 def m21_diebold_mariano(spark, sf_dir):
     out = significance.with_p_values(significance.corrected(tests(spark, sf_dir), F.greatest("horizon", F.lit(1))))
     return rounded(out.select("id", "horizon", "t", "p", "marker"), "t", "p")

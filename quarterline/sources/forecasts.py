@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SCHEMA = {"firm_id": "string", "target": "string", "quarter": "date", "forecast_horizon": "int", "prediction": "float", "sigma": "float", "model": "string"}
@@ -89,9 +90,13 @@ def decode(rows: DataFrame, firms: DataFrame, accounts: DataFrame) -> tuple[Data
     return named.where(known), named.where(~known).agg(F.count("*").alias("n_unmapped"))
 
 
-def fingerprint(frame: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows, columns and key sums as one hash: the same content gives the same, in any order."""
-    sums = [F.sum(F.xxhash64(*keys).cast("decimal(38,0)")).cast("string")]
+def fingerprint(frame: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows, columns and sums of row hashes as one hash: the same content gives the same, in any order; a null is not an empty value.
+
+    columns: those that count, by default all. Two sums of differently seeded hashes, added up in partial aggregates.
+    """
+    cells = [x for c in sorted(columns or frame.columns) for x in (F.col(c), F.col(c).isNull())]
+    sums = [F.sum(F.xxhash64(F.lit(seed), *cells).cast("decimal(38,0)")).cast("string") for seed in (1, 2)]
     return frame.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), F.lit(",".join(sorted(frame.columns))), *sums), 256).alias("fingerprint"))
 
 
@@ -104,9 +109,12 @@ class Cache:
     def get(self, manifest: dict, build) -> DataFrame:
         want = json.dumps(manifest, sort_keys=True)
         try:
-            have = self.spark.read.text(f"{self.path}/manifest").first()[0]
-        except Exception:  # no manifest, no cache
-            have = None
+            row = self.spark.read.text(f"{self.path}/manifest").first()
+        except AnalysisException as error:  # no manifest, no cache; anything else is not for us to overwrite
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            row = None
+        have = row[0] if row else None
         if have != want:
             build().write.mode("overwrite").parquet(f"{self.path}/data")
             self.spark.createDataFrame([(want,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest")
