@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarterline.llm import jaccard, packing, quality, secrets, substrings
-from quarterline.llm.shared import read_table
+from quarterline.llm.shared import discard_since, read_table, written
 from quarterline.sources.shared import fresh_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -57,11 +57,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the table documents, each written and read again before the next."""
+    """Applies the stages to the table documents, each written and read again before the next.
+
+    What a stage stored for itself, and the output of the stage before, are deleted once its own output is written.
+    """
     docs = read_table(spark, sf_dir, "documents")
     folder = fresh_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}"
+        path, mark = f"{folder}/{k}", written()
         stage(spark, docs, sf_dir).write.parquet(path)
+        discard_since(spark, mark)
+        if k:
+            place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
         docs = spark.read.parquet(path)
     return docs
