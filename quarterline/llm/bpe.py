@@ -13,7 +13,7 @@ from .shared import map_texts, read_table
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The pattern whose matches can be found between white space; with others the whole text is matched.
 SPLITTING = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Entries that a worker remembers; beyond it the memo starts anew.
+#: Entries that a worker remembers in each of two generations: those not asked for in the last one are forgotten.
 MEMO = 300_000
 
 
@@ -153,22 +153,31 @@ def codec(ranks_path: str, pattern: str):
     units_of = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall if pattern == SPLITTING else None
     units: dict[str, bytes] = {}
     pieces: dict[str, bytes] = {}
+    before: dict[str, bytes] = {}
 
     def piece_ids(piece: str) -> bytes:
+        nonlocal pieces, before
         known = pieces.get(piece)
         if known is None:
             if len(pieces) >= MEMO:
-                pieces.clear()
-            known = array("I", bpe.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
+                pieces, before = {}, pieces
+            known = before.get(piece)
+            if known is None:
+                known = array("I", bpe.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
             if len(piece) < 100:
                 pieces[piece] = known
         return known
 
     class Units(dict):
+        old: dict[str, bytes] = {}
+
         def __missing__(self, unit: str) -> bytes:
             if len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
-            ids = b"".join(map(piece_ids, pieces_of(unit)))
+            ids = self.old.get(unit)
+            if ids is None:
+                ids = b"".join(map(piece_ids, pieces_of(unit)))
             if len(unit) < 100:
                 self[unit] = ids
             return ids
