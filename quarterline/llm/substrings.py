@@ -1,4 +1,4 @@
-"""Removes passages that repeat across documents: sliding spans of consecutive sentences, joined by hash."""
+"""Removes passages that repeat across documents, and inside one where asked: sliding spans of consecutive sentences, joined by hash."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import re
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .shared import discard, join_by_key, map_texts, read_table, stored
 
@@ -113,52 +113,72 @@ def spans(text: str, span_words: int = SPAN_WORDS) -> tuple[np.ndarray, np.ndarr
     return keys[0], keys[1], start, end
 
 
-def held_by_several(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key several documents hold, with the least of these as owner; and the stored table of such keys.
+def held_again(key: np.ndarray, check: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which of a text's spans, in order of first, it holds earlier. Those that overlap the first of their kind are not meant: that stays whole."""
+    kinds, at, kind = np.unique(key, return_index=True, return_inverse=True)
+    if len(kinds) == len(key):
+        return np.zeros(len(key), dtype=bool)
+    at = at[kind]
+    return (first > last[at]) & (check == check[at])
 
-    Rows are reduced to least and greatest id before the shuffle, and the keys held join back.
+
+def held_by_several(rows: DataFrame, key: list[str], holder: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key several holders have (documents, if none are given), with the least of these as owner; and the stored table of such keys.
+
+    Rows are reduced to least and greatest holder before the shuffle, and the keys held join back.
     """
-    held = rows.groupBy(*key).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"), F.count("*").alias("n"))
+    holder = F.col("doc_id") if holder is None else holder
+    held = rows.groupBy(*key).agg(F.min(holder).alias("owner"), F.max(holder).alias("other"), F.count("*").alias("n"))
     held = stored(held.where(F.col("owner") < F.col("other")).select(*key, "owner", "n"), "held")
     return join_by_key(rows, held, key), held
 
 
-def repeated_parts(docs: DataFrame, span_words: int = SPAN_WORDS) -> DataFrame:
+def repeated_parts(docs: DataFrame, span_words: int = SPAN_WORDS, within: bool = False) -> DataFrame:
     """(doc_id, text_hash, marks) of the documents that lose parts; marks holds (first, last) pairs.
 
-    Spans meet by 64 bits of their hash first; those that meet, by 96.
+    Spans meet by 64 bits of their hash first; those that meet, by 96. With within, what a text holds again is marked where
+    the text is read and meets no other text, and the texts of one id are holders of their own, in order of id and hash.
     """
 
     def make():
         def run(texts: list[str]):
-            found, rows = [[], [], []], []
+            found, rows = [[], [], [], []], []
             for k, text in enumerate(texts):
                 span_a, span_b, first, last = spans(text, span_words)
                 if len(span_a):
-                    for column, values in zip(found, (span_a, (span_b >> 32).astype(np.int32), first << 32 | last)):
+                    again = held_again(span_a, span_b, first, last) if within else np.zeros(len(span_a), dtype=bool)
+                    for column, values in zip(found, (span_a, (span_b >> 32).astype(np.int32), first << 32 | last, again)):
                         column.append(values)
                     rows.append(np.full(len(span_a), k))
             if not rows:
-                return [[], [], []], []
+                return [[], [], [], []], []
             return [np.concatenate(x) for x in found], np.concatenate(rows)
 
         return run
 
     # A null id comes after all others.
     read = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.hash("text").alias("text_hash"), "text")
-    found = stored(map_texts(read, {"doc_id": "doc_id", "text_hash": "text_hash"}, "text", "span_a long, span_b int, place long", make), "spans")
-    alike, held = held_by_several(found, ["span_a"])
+    found = stored(map_texts(read, {"doc_id": "doc_id", "text_hash": "text_hash"}, "text", "span_a long, span_b int, place long, again boolean", make), "spans")
+    # Whether holders differ is all that 64 bits decide; which is the first is decided by the few that meet, whose numbers are longer.
+    some, ordered = F.xxhash64("doc_id", "text_hash"), F.col("doc_id").cast("decimal(20)") * F.lit(1 << 32).cast("decimal(11)") + F.col("text_hash")
+    some, ordered = (some, ordered) if within else (F.col("doc_id"), F.col("doc_id"))
+    alike, held = held_by_several(found.where(~F.col("again")).drop("again"), ["span_a"], some)
     alike = stored(alike.drop("owner", "n"), "alike")
+    inside = [stored(found.where("again").select("doc_id", "text_hash", "place"), "inside")] if within else []
     discard(found, held)
-    later = held_by_several(alike, ["span_a", "span_b"])[0].where(F.col("doc_id") > F.col("owner"))
+    later = held_by_several(alike, ["span_a", "span_b"], ordered)[0].where(ordered > F.col("owner")).select("doc_id", "text_hash", "place")
+    for more in inside:
+        later = later.unionByName(more)
     mark = F.struct(F.shiftright("place", 32).cast("int").alias("first"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("last"))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set(mark).alias("marks"))
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = SPAN_WORDS) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span_words: int = SPAN_WORDS, within: bool = False) -> DataFrame:
     """All columns of docs with the text less the sentences that any non-first repeated span covers.
 
     A span repeats if two documents hold it; the first of them is the one with the least id, and it keeps its text whole.
+    With within, it also repeats if one document holds it twice, in places that do not overlap or in different texts of its id, null
+    or not (these in order of their hash); the first place stays. Rows alike in id and text are one text and lose the same.
     Sentences of more than LONGEST words go in parts. Adds n_sentences and n_removed, the sentences that lose anything;
     columns of these names are replaced. A text that loses nothing stays as it is, a null text
     stays null, runs of fewer than span_words words are never looked for. Ids are integers. Rows with the same id count as one
@@ -166,7 +186,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     id_of = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(_LAST))
     ours = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marks = repeated_parts(ours, span_words).select(F.col("doc_id").alias("marked_id"), F.col("text_hash").alias("marked_hash"), "marks")
+    marks = repeated_parts(ours, span_words, within).select(F.col("doc_id").alias("marked_id"), F.col("text_hash").alias("marked_hash"), "marks")
     # Columns of docs may have any name, so they go by number until the end.
     keep = {c: f"kept_{k}" for k, c in enumerate(docs.columns) if c not in ("n_sentences", "n_removed")}
     named = docs.select(*[F.col(c).alias(new) for c, new in keep.items()])
@@ -198,4 +218,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return drop_repeats(docs).select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_sentences", "n_removed")
+    return drop_repeats(docs, within=True).select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_sentences", "n_removed")
