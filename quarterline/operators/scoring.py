@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import density
+from ..functions import density, maths
 
 CELL = ["firm_id", "qoff", "target", "horizon"]
 LEVELS = {0: "by_target_horizon", 1: "by_target", 2: "by_horizon", 3: "global"}
@@ -58,13 +58,13 @@ def roll_up(rows: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
 
 def truth_stats() -> list[Column]:
     y = F.when(F.col("common"), F.col("actual") - F.col("baseline"))
-    return [F.count(y).alias("n_complete"), F.sum(y).alias("sum_y"), F.sum(y * y).alias("sum_y2"), F.count_distinct(F.when(F.col("actual").isNotNull(), F.col("qoff"))).alias("quarters")]
+    return [F.count(y).alias("n_complete"), maths.steady_sum(y).alias("sum_y"), maths.steady_sum(y * y).alias("sum_y2"), F.count_distinct(F.when(F.col("actual").isNotNull(), F.col("qoff"))).alias("quarters")]
 
 
 def point_scores(scored: DataFrame) -> DataFrame:
-    """R2, MAE, observations for each model at each level."""
+    """R2, MAE, observations for each model at each level; the order of the rows does not change them."""
     r = F.when(F.col("common"), F.col("r"))
-    stats = roll_up(scored, ["id"], *truth_stats(), F.count("r").alias("n_obs"), F.sum(r * r).alias("sum_r2"), F.sum(F.abs(r)).alias("sum_abs"), F.count(r).alias("n_metric"))
+    stats = roll_up(scored, ["id"], *truth_stats(), F.count("r").alias("n_obs"), maths.steady_sum(r * r).alias("sum_r2"), maths.steady_sum(F.abs(r)).alias("sum_abs"), F.count(r).alias("n_metric"))
     return with_metrics(stats)
 
 

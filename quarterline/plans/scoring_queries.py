@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import density, quantiles
+from ..functions import density, maths, quantiles
 from ..operators import calibration, scoring, significance
 from ..sources import views
 from ..sources.views import FORECASTS, PANEL, TRUTH, with_views
@@ -87,7 +87,7 @@ def j5_seed_alignment(spark, sf_dir):
 @query("a1_rollup_levels", with_views("SELECT id, target, horizon, level, n_complete, n_obs, n_metric, quarters, round(r2, 6) AS r2, round(mae, 6) AS mae, round(avg_obs, 6) AS avg_obs FROM metrics", *ALL, STATS))
 def a1_rollup_levels(spark, sf_dir):
     out = scoring.point_scores(sample(spark, sf_dir)).select("id", "target", "horizon", "level", "n_complete", "n_obs", "n_metric", "quarters", "r2", "mae", "avg_obs")
-    return rounded(out, "r2", "mae", "avg_obs")
+    return out.withColumns({c: maths.round_half_away(F.col(c), 6) for c in ("r2", "mae", "avg_obs")})
 
 
 @query("a2_truth_stats", with_views("SELECT target, horizon, n_complete, round(sum_y, 4) AS sum_y, round(sum_y2, 4) AS sum_y2, quarters FROM stats WHERE id = 'naive' AND level = 'by_target_horizon'", *ALL, STATS))
