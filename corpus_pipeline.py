@@ -27,8 +27,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages that an earlier document has; documents of which nothing stays go."""
-    left = substrings.drop_repeats(docs.select(*COLUMNS))
+    """Removes passages that an earlier document, or the same one before, has; documents of which nothing stays go."""
+    left = substrings.drop_repeats(docs.select(*COLUMNS), within=True)
     return _columns(left.where((F.col("n_removed") == 0) | (F.trim("text") != "")))
 
 

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quarterline.llm import shared, substrings
 from tests.llm.test_span_rules import corpus, words
 
@@ -60,3 +61,12 @@ def test_the_query_removes_repeats_wherever_they_are(spark, tmp_path):
         assert len(texts) == 2 and sum(passage.strip() in t for t in texts) == 1 and sum(len(t.split()) == 1 for t in texts) == 1
     # Of a line repeated 60 times, the first 25 stay.
     assert [r.text.split() for r in got if r.doc_id == 6] == [["Line."] * 25]
+
+
+def test_the_pipeline_removes_repeats_inside_a_document(spark):
+    rng = random.Random(9)
+    passage = words(rng, 20) + ". " + words(rng, 12) + ". "
+    rows = [(1, "One. " + passage + "Between. " + passage, "en", "s", 0), (None, "Two. Own.", "en", "s", 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeated_passage_stage(spark, table, "").collect()}
+    assert got == {1: "One. " + passage + "Between.", None: "Two. Own."}
